@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.columns import indices, let
 from corpusloom.functions.text import words
-from corpusloom.staging import small_enough
+from corpusloom.staging import hinted, stage
 
 BROADCAST_ROWS = 1_000_000
 
@@ -48,12 +48,11 @@ def route(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     named = named.withColumn("_word", F.get("_alias_words", F.lit(0)))
     asked = queries.select("qid", words(F.col("text")).alias("_query_words"))
     asked = asked.select("*", F.explode(F.array_distinct("_query_words")).alias("_word"))
-    hint = F.broadcast(named) if small_enough(named, BROADCAST_ROWS) else named
 
     def spelled(sequence: str) -> Column:
         return F.concat(F.lit(" "), F.array_join(sequence, " "), F.lit(" "))
 
-    matched = asked.join(hint, "_word").where(
+    matched = asked.join(hinted(named, BROADCAST_ROWS), "_word").where(
         F.contains(spelled("_query_words"), spelled("_alias_words"))
     )
     return matched.select("qid", "alias", "doc_id").distinct()
@@ -61,15 +60,14 @@ def route(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def expand_parents(hits: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
     """Hits on child chunks -> their parent texts, once per query with the best child score."""
-    small = F.broadcast(hits) if small_enough(hits, BROADCAST_ROWS) else hits
+    few = hinted(stage(hits, "hits"), BROADCAST_ROWS)
     best = (
         children.select("chunk_id", "parent_id")
-        .join(small, "chunk_id")
+        .join(few, "chunk_id")
         .groupBy("qid", "parent_id")
         .agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_children"))
     )
-    few = F.broadcast(best) if small_enough(best, BROADCAST_ROWS) else best
-    return parents.select("parent_id", "text").join(few, "parent_id")
+    return parents.select("parent_id", "text").join(hinted(stage(best, "parents"), BROADCAST_ROWS), "parent_id")
 
 
 def overlap_score(query: Column, document: Column) -> Column:

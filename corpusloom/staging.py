@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -44,3 +45,9 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` has at most ``max_rows`` rows; reads no more than one row beyond."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def hinted(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it is small enough, else as it is. Counts ``df``: pass a
+    stored table or something as cheap."""
+    return F.broadcast(df) if small_enough(df, max_rows) else df
