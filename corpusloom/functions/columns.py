@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,9 @@ def indices(n: Column) -> Column:
 def joined(values: Column, separator: str = " ") -> Column:
     """Array of any atomic type as one string."""
     return F.array_join(values.cast("array<string>"), separator)
+
+
+def literal_rows(spark: SparkSession, **columns: list) -> DataFrame:
+    """A small constant table, e.g. reserved tokens, planned without Python workers."""
+    zipped = F.arrays_zip(*[F.lit(values).alias(name) for name, values in columns.items()])
+    return spark.range(1).select(F.inline(zipped).alias(*columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -11,39 +12,59 @@ from pyspark.sql import functions as F
 
 # Character classes and patterns that decide the results. They are written in
 # the syntax that Java and RE2 share.
-SPACE = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+ASCII_SPACE = r"\t-\r\x1c-\x20"
+OTHER_SPACE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = ASCII_SPACE + OTHER_SPACE
 WORD = r"[\p{L}\p{N}_]+"
 PUNCT = r"\p{P}$+<=>^`|~"
 SPACE_SEPARATORS = r"[\t\n\r\p{Zs}]"
 CONTROL = r"[\p{C}&&[^\t\n\r]]"
 PAGE_CONTROL = r"[\x00-\x08\x0b-\x1f\x7f]"
 RULE_LINE = r"[-_.=]{4,}"
-KEEP = "A-Za-z0-9\\x{4e00}-\\x{9fff}" + SPACE + r".,;:!?()%$+\-*/=<>@#&'" + '"'
-KEEP_FULL_WIDTH = KEEP + "，。；：！？（）￥"
+KEEP_ASCII = "A-Za-z0-9" + ASCII_SPACE + r".,;:!?()%$+\-*/=<>@#&'" + '"'
+KEEP_OTHER = r"\x{4e00}-\x{9fff}" + OTHER_SPACE
+FULL_WIDTH = "，。；：！？（）￥"
+KEEP = KEEP_ASCII + KEEP_OTHER
+KEEP_FULL_WIDTH = KEEP + FULL_WIDTH
 CJK = (
     r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
     r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
 )
 
 
+def _singles(ascii_class: str) -> str:
+    return "".join(f"\\x{c:02x}" for c in range(128) if re.match(f"[{ascii_class}]", chr(c)))
+
+
+def _inside(ascii_class: str, other_class: str) -> str:
+    """The union of both classes, written so that ASCII characters are decided by one table
+    lookup; Java tries the ranges of a plain class one by one for every character."""
+    return rf"[[\x{{80}}-\x{{10FFFF}}&&[{other_class}]]{_singles(ascii_class)}]"
+
+
+def _outside(ascii_class: str, other_class: str) -> str:
+    """The complement of the union."""
+    return rf"[[\x{{80}}-\x{{10FFFF}}&&[^{other_class}]][\x00-\x7f&&[^{_singles(ascii_class)}]]]"
+
+
+_SPACES = _inside(ASCII_SPACE, OTHER_SPACE)
+
+
 def _sub(text: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
 
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends (``trim`` removes only blanks)."""
-    return _sub(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return _sub(text, rf"\A{_SPACES}+|{_SPACES}+\z", "")
 
 
 def lstrip(text: Column) -> Column:
-    return _sub(text, rf"\A[{SPACE}]+", "")
+    return _sub(text, rf"\A{_SPACES}+", "")
 
 
 def squeeze(text: Column) -> Column:
-    return strip(_sub(text, rf"[{SPACE}]+", " "))
+    return strip(_sub(text, f"{_SPACES}+", " "))
 
 
 # -- cleaning ---------------------------------------------------------------------------
@@ -60,13 +81,13 @@ def normalize_page(text: Column) -> Column:
 def clean_basic(text: Column) -> Column:
     """Collapse ruler lines, keep the allowed characters (with full-width punctuation)."""
     text = _sub(text, RULE_LINE, " ")
-    return squeeze(_sub(text, f"[^{KEEP_FULL_WIDTH}]", " "))
+    return squeeze(_sub(text, _outside(KEEP_ASCII, KEEP_OTHER + FULL_WIDTH), " "))
 
 
 def clean_recursive(text: Column) -> Column:
     """Page normalisation followed by the narrower character whitelist."""
     text = _sub(normalize_page(text), RULE_LINE, " ")
-    return squeeze(_sub(text, f"[^{KEEP}]", " "))
+    return squeeze(_sub(text, _outside(KEEP_ASCII, KEEP_OTHER), " "))
 
 
 def collapse_markdown(text: Column) -> Column:
@@ -155,7 +176,7 @@ def words(text: Column) -> Column:
 
 
 def whitespace_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda token: token != "")
+    return F.filter(F.split(text, f"{_SPACES}+"), lambda token: token != "")
 
 
 def simple_tokens(text: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.columns import literal_rows
 from corpusloom.operators.ordering import with_position
 from corpusloom.staging import small_enough
 
@@ -34,7 +35,7 @@ def _numbered(words: DataFrame, order: Sequence[str | Column], specials: Sequenc
     ranked = ranked.select("token", (F.col("id") - 1 + len(specials)).cast("int").alias("id"))
     if not specials:
         return ranked
-    reserved = spark.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id int")
+    reserved = literal_rows(spark, token=list(specials), id=list(range(len(specials))))
     return reserved.unionByName(ranked)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.columns import literal_rows
 from corpusloom.operators import chunking as C
 from corpusloom.operators import lexical_search as L
 from corpusloom.operators import retrieval as R
@@ -22,7 +23,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ASKED), "qid int, text string")
+    return literal_rows(spark, qid=[q for q, _ in ASKED], text=[t for _, t in ASKED])
 
 
 _VALUES = ", ".join(f"({q}, {S.lit(t)})" for q, t in ASKED)
