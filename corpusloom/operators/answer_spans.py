@@ -9,8 +9,8 @@ from corpusloom.functions.columns import let
 from corpusloom.functions.encoding import best_positions
 from corpusloom.functions.numeric import softmax
 from corpusloom.functions.text import basic_tokens, detokenize, whitespace_tokens
-from corpusloom.operators.chunking import doc_spans
 from corpusloom.operators.ordering import with_position
+from corpusloom.staging import stage
 
 # Fixed value: white space that separates context words.
 CONTEXT_SPACE = r"[ \t\r\n\x{202F}]+"
@@ -84,26 +84,20 @@ def improve_span(tokens: Column, start: Column, end: Column, answer: Column) ->
     )
 
 
-def is_max_context(spans: Column, index: Column, position: Column, reach: int) -> Column:
-    """Whether span ``index`` gives the token the most context: the largest
-    min(left, right) + 0.01 * length, the first of equals. Spans further away than ``reach``
-    cannot hold the token."""
-    low = F.greatest(index - reach, F.lit(0))
-    near = F.slice(spans, low + 1, F.lit(2 * reach + 1))
-    holding = F.filter(
-        F.transform(
-            near,
-            lambda s, i: F.struct(
-                F.when(
-                    (position >= s["start"]) & (position < s["start"] + s["length"]),
-                    F.least(position - s["start"], s["start"] + s["length"] - 1 - position) + 0.01 * s["length"],
-                ).alias("score"),
-                (-(i + low)).alias("i"),
-            ),
-        ),
-        lambda s: s["score"].isNotNull(),
-    )
-    return -F.array_max(holding)["i"] == index
+def is_max_context(span: Column, before: Column, after: Column, position: Column) -> Column:
+    """Whether a span gives the token the most context: the largest
+    min(left, right) + 0.01 * length, the first of equals.
+
+    Starts and ends rise from span to span, so a span that loses to any other loses to the one
+    next to it on that side: the two neighbours decide.
+    """
+
+    def score(s: Column) -> Column:
+        return F.least(position - s["start"], s["start"] + s["length"] - 1 - position) + 0.01 * s["length"]
+
+    earlier = (position < before["start"] + before["length"]) & (score(before) >= score(span))
+    later = (position >= after["start"]) & (score(after) > score(span))
+    return ~F.coalesce(earlier, F.lit(False)) & ~F.coalesce(later, F.lit(False))
 
 
 def window_features(
@@ -114,12 +108,10 @@ def window_features(
 
     ``pieces`` holds the sub-tokens of each context word (array of arrays), ``query`` the
     question tokens. Output: tokens, segment_ids, the word index of each token
-    (token_to_orig, null outside the context), token_is_max_context, start/end positions
-    (0, 0 when the answer lies outside the span), and a running unique_id from 1000000000.
+    (token_to_orig, null outside the context), token_is_max_context, and start/end positions
+    (0, 0 when the answer lies outside the span).
 
-    Spans are exploded before tokens are laid out, so a very long context spreads its work
-    over rows of bounded size. Context room depends on the question length, so spans are
-    computed per row.
+    Context room depends on the question length, so spans are computed per row.
     """
     asked = examples.withColumn("_q", F.slice(query, 1, max_query_length)).withColumn(
         "_all", F.flatten(pieces)
@@ -148,39 +140,51 @@ def window_features(
     spans = F.filter(
         spans, lambda s: (s["length"] > 0) & ((s["start"] == 0) | (s["start"] - doc_stride + room < n))
     )
-    reach = -(-max_seq_length // doc_stride)
-    spread = asked.withColumn("_spans", spans).select(
-        "*", F.posexplode("_spans").alias("doc_span_index", "_span")
-    )
-    at, length = F.col("_span.start"), F.col("_span.length")
     offset = F.size("_q") + 2
-    tokens = F.concat(
-        F.array(F.lit("[CLS]")), F.col("_q"), F.array(F.lit("[SEP]")), F.slice("_all", at + 1, length), F.array(F.lit("[SEP]"))
-    )
+    head = F.concat(F.array(F.lit("[CLS]")), F.col("_q"), F.array(F.lit("[SEP]")))
+    tail = F.array(F.lit("[SEP]"))
+
+    def layout(all_spans: Column) -> Column:
+        return F.transform(
+            all_spans,
+            lambda s, i: F.struct(
+                i.alias("doc_span_index"),
+                s["start"].alias("at"),
+                s["length"].alias("length"),
+                F.slice("_all", s["start"] + 1, s["length"]).alias("words"),
+                F.slice("_orig", s["start"] + 1, s["length"]).alias("orig"),
+                F.transform(
+                    F.sequence(s["start"], s["start"] + s["length"] - 1),
+                    lambda p: is_max_context(s, F.get(all_spans, i - 1), F.get(all_spans, i + 1), p),
+                ).alias("flags"),
+            ),
+        )
+
+    # the spans of a row become rows only with their own slices, so that no row repeats its text
+    spread = asked.select("qas_id", "_q", "_answer", F.inline(let(spans, layout)))
+    at, length = F.col("at"), F.col("length")
     inside = (F.col("_answer.start") >= at) & (F.col("_answer.end") <= at + length - 1)
 
     def position(field: str) -> Column:
         return F.when(inside, F.col(f"_answer.{field}") - at + offset).otherwise(0)
 
-    blank = F.array_repeat(F.lit(None).cast("int"), offset)
-    features = spread.select(
+    nothing = F.lit(None).cast("int")
+    return spread.select(
         "qas_id",
         "doc_span_index",
-        tokens.alias("tokens"),
+        F.concat(head, F.col("words"), tail).alias("tokens"),
         F.concat(F.array_repeat(F.lit(0), offset), F.array_repeat(F.lit(1), length + 1)).alias("segment_ids"),
-        F.concat(blank, F.slice("_orig", at + 1, length), F.array(F.lit(None).cast("int"))).alias("token_to_orig"),
-        F.concat(
-            F.array_repeat(F.lit(False), offset),
-            F.transform(
-                F.sequence(at, at + length - 1),
-                lambda p: is_max_context(F.col("_spans"), F.col("doc_span_index"), p, reach),
-            ),
-            F.array(F.lit(False)),
-        ).alias("token_is_max_context"),
+        F.concat(F.array_repeat(nothing, offset), F.col("orig"), F.array(nothing)).alias("token_to_orig"),
+        F.concat(F.array_repeat(F.lit(False), offset), F.col("flags"), F.array(F.lit(False))).alias(
+            "token_is_max_context"
+        ),
         position("start").alias("start_index"),
         position("end").alias("end_index"),
     )
-    numbered = with_position(features, ["qas_id", "doc_span_index"], "unique_id")
+
+def with_unique_ids(features: DataFrame) -> DataFrame:
+    """Number the features from 1000000000 in question and span order."""
+    numbered = with_position(stage(features, "features"), ["qas_id", "doc_span_index"], "unique_id")
     return numbered.withColumn("unique_id", F.col("unique_id") + 999999999)
 
 
@@ -212,7 +216,8 @@ def candidate_spans(features: DataFrame, n_best: int = 20, longest: int = 30) ->
             )
         ),
     )
-    return features.select("*", F.inline(pairs)).withColumns(
+    kept = [c for c in features.columns if c not in ("start_index", "end_index")]
+    return features.select(*kept, F.inline(pairs)).withColumns(
         {
             "start_logit": F.get("start_logits", F.col("start_index")),
             "end_logit": F.get("end_logits", F.col("end_index")),
@@ -301,7 +306,7 @@ def with_probabilities(answers: DataFrame) -> DataFrame:
     probs = softmax(F.transform("_a", lambda a: a["start_logit"] + a["end_logit"]))
     zipped = F.arrays_zip(F.col("_a").alias("a"), probs.alias("p"))
     return grouped.select("qas_id", F.explode(zipped).alias("_z")).select(
-        "qas_id", "_z.0.*", F.col("_z.1").alias("probability")
+        "qas_id", "_z.a.*", F.col("_z.p").alias("probability")
     )
 
 
@@ -320,8 +325,3 @@ def decide(answers: DataFrame, nulls: DataFrame, threshold: float = 0.0) -> Data
         diff.alias("score_diff"),
         F.when(diff.isNull() | (diff > threshold), "").otherwise(F.col("_b.text")).alias("prediction"),
     )
-
-
-def covering_spans(n_tokens: Column, longest: int, stride: int) -> Column:
-    """The spans of a text, see ``doc_spans``."""
-    return doc_spans(n_tokens, longest, stride)

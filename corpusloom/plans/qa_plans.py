@@ -102,7 +102,7 @@ _FEATURES_CTE = f"""ex AS MATERIALIZED (SELECT *, {S.basic_tokens('question')}[1
 )
 def qa_features(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping windows with original word numbers, maximal context and answer positions."""
-    _, found = features(spark, sf)
+    found = A.with_unique_ids(features(spark, sf)[1])
     inner = F.filter("token_to_orig", lambda o: o.isNotNull())
     first = F.array_position("tokens", "[SEP]").cast("int")
     flags = F.slice("token_is_max_context", first + 1, F.size(inner))
