@@ -24,10 +24,11 @@ ARTICLES = (
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their position: (file, line_no from 0 within the file, value).
+    """Text lines with their position: (file, line_no from 0, value).
 
-    Splits of one file are read in parallel; numbers come from file, split and place within
-    the split, written down once (a second scan might be split differently).
+    A path may be one file or several, which count as one text in the order of their names.
+    Splits are read in parallel; numbers come from file, split and place within the split,
+    written down once (a second scan might be split differently).
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -36,10 +37,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
         "value",
     )
     numbered = with_position(raw, ["file", "_block", "_at"], "_n")
-    first = numbered.groupBy("file").agg(F.min("_n").alias("_first"))
-    return numbered.join(first, "file").select(
-        "file", (F.col("_n") - F.col("_first")).alias("line_no"), "value"
-    )
+    return numbered.select("file", (F.col("_n") - 1).alias("line_no"), "value")
 
 
 def delimited_lines(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
@@ -107,10 +105,10 @@ def blank_separated_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     from corpusloom.operators.ordering import running_totals
 
-    marked = lines(spark, path).select("file", "line_no", strip(F.col("value")).alias("sentence"))
+    marked = lines(spark, path).select("line_no", strip(F.col("value")).alias("sentence"))
     marked = marked.withColumn("_blank", (F.col("sentence") == "").cast("bigint"))
-    numbered = running_totals(marked, ["line_no"], {"doc": "_blank"}, by=["file"])
-    return numbered.where("sentence != ''").select("file", "doc", "line_no", "sentence")
+    numbered = running_totals(marked, ["line_no"], {"doc": "_blank"})
+    return numbered.where("sentence != ''").select("doc", "line_no", "sentence")
 
 
 def parallel_text(spark: SparkSession, source: str, target: str) -> DataFrame:
