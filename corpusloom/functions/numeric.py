@@ -153,3 +153,9 @@ def sinusoid(position: Column, width: int) -> Column:
             lambda angle: F.when(i % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)),
         ),
     )
+
+
+def step_counts(rows: Column, batch: int, epochs: float, warmup: float) -> tuple[Column, Column]:
+    """Training steps and warm-up steps, both cut to whole numbers."""
+    steps = (rows / batch * epochs).cast("int")
+    return steps, (steps * warmup).cast("int")

@@ -355,3 +355,22 @@ def doc_spans(n_tokens: Column, longest: int, stride: int) -> Column:
         spans,
         lambda s: (s["length"] > 0) & ((s["start"] == 0) | (s["start"] - stride + longest < n_tokens)),
     )
+
+
+# -- documents from pages -----------------------------------------------------------------
+
+
+def page_number(page: Column, number: Column) -> Column:
+    """The page of a record: ``page`` unless it is missing or 0, else ``number``."""
+    return F.when(page.isNotNull() & (page != 0), page).otherwise(number)
+
+
+def assemble_documents(pages: DataFrame, *document: str) -> DataFrame:
+    """Page rows (page_index, text) -> one text per document, pages in order (none counts as 0).
+
+    The result row is the document itself, which bounds what meets in one group.
+    """
+    page = F.struct(F.coalesce("page_index", F.lit(0)).alias("p"), "text")
+    grouped = pages.groupBy(*document).agg(F.sort_array(F.collect_list(page)).alias("_p"))
+    texts = F.transform("_p", lambda p: p["text"])
+    return grouped.select(*document, compose_pages(texts).alias("text"), F.size("_p").alias("page_count"))

@@ -114,3 +114,29 @@ def prompt_context(hits: DataFrame, block: Column) -> DataFrame:
     rows = hits.select("qid", "rank", block.alias("_block"))
     grouped = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "_block"))).alias("_b"))
     return grouped.select("qid", F.array_join(F.transform("_b", lambda b: b["_block"]), "\n\n").alias("context"))
+
+
+# Rules for the kinds of answers, in our own words.
+KIND_RULES = {
+    "number": "Give digits only, without currency, separators, units or notes.",
+    "name": "Give the name alone.",
+    "names": "Give a list of names.",
+    "boolean": "Give true or false.",
+}
+
+
+def answer_prompt(question: Column, kind: Column, context: Column, top_k: int) -> Column:
+    """Question, rule for its kind and retrieved context as one prompt."""
+    rule = F.element_at(F.create_map(*[F.lit(x) for pair in KIND_RULES.items() for x in pair]), kind)
+    return F.concat(
+        F.lit("Use only the context. Reply in JSON with question_text, kind, value, references, "
+              "retrieval_results and reasoning_process; value is N/A and references are empty if the "
+              "context does not hold the answer.\nkind: "),
+        kind,
+        F.lit(f" (top {top_k})\nrule: "),
+        rule,
+        F.lit("\n\nContext:\n"),
+        context,
+        F.lit("\n\nQuestion:\n"),
+        question,
+    )

@@ -154,3 +154,14 @@ def words_of_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, drop: Sequ
     return df.select(key).join(found, key, "left").select(
         key, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")
     )
+
+
+def embedding_lookup(df: DataFrame, key: str, ids: str, vectors: DataFrame) -> DataFrame:
+    """Vectors of an id array in order, one row per position: (key, place, id, embedding).
+
+    Ids without a vector keep a null. A table of vectors that is small enough is broadcast.
+    """
+    spread = df.select(key, F.posexplode(ids).alias("place", "id"))
+    table = vectors.select("id", "embedding")
+    hint = F.broadcast(table) if small_enough(table, BROADCAST_ROWS // 100) else table
+    return spread.join(hint, "id", "left")

@@ -343,3 +343,20 @@ def doc_spans(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(
         "doc_id", F.inline(C.doc_spans(F.col("n"), 384, 128)).alias("span_start", "span_length")
     )
+
+
+@query(
+    "assemble_pages",
+    """SELECT doc_id, md5(string_agg(l, chr(10)||chr(10) ORDER BY p, l)) AS text_md5, count(*)::INT AS page_count
+       FROM (SELECT doc_id, CASE WHEN page % 3 = 1 THEN page + 1 ELSE coalesce(nullif(page, 0), 0) END AS p, l FROM (
+         SELECT doc_id, unnest(range(0, len(ls))) AS page, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))
+       GROUP BY doc_id""",
+)
+def assemble_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Page records with two kinds of page numbers, sorted and joined per document."""
+    lines = texts(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    page = F.when(F.col("n") % 3 != 1, F.col("n"))
+    other = F.when(F.col("n") % 3 == 1, F.col("n") + 1)
+    records = lines.select("doc_id", C.page_number(page, other).alias("page_index"), "text")
+    documents = C.assemble_documents(records, "doc_id")
+    return documents.select("doc_id", F.md5("text").alias("text_md5"), "page_count")

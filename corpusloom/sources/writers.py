@@ -49,3 +49,8 @@ def probability_line(probabilities: Column, places: int | None = None) -> Column
 def rounded_layers(layers: Column, places: int = 6) -> Column:
     """array<array<double>> with every value rounded, as JSON."""
     return F.to_json(F.transform(layers, lambda vs: F.transform(vs, lambda v: F.round(v.cast("double"), places))))
+
+
+def keyed_json(df: DataFrame, key: str, value: Column, path: str) -> None:
+    """``{key: value}`` objects, one per line (predictions, n-best lists, null odds)."""
+    json_lines(df.select(F.to_json(F.create_map(F.col(key), value)).alias("json")), "json", path)
