@@ -16,9 +16,10 @@ ASCII_SPACE = r"\t-\r\x1c-\x20"
 OTHER_SPACE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE = ASCII_SPACE + OTHER_SPACE
 WORD = r"[\p{L}\p{N}_]+"
+ASCII_PUNCT = r"!-/:-@\[-`{-~"
 PUNCT = r"\p{P}$+<=>^`|~"
 SPACE_SEPARATORS = r"[\t\n\r\p{Zs}]"
-CONTROL = r"[\p{C}&&[^\t\n\r]]"
+ASCII_CONTROL = r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f"
 PAGE_CONTROL = r"[\x00-\x08\x0b-\x1f\x7f]"
 RULE_LINE = r"[-_.=]{4,}"
 KEEP_ASCII = "A-Za-z0-9" + ASCII_SPACE + r".,;:!?()%$+\-*/=<>@#&'" + '"'
@@ -48,6 +49,11 @@ def _outside(ascii_class: str, other_class: str) -> str:
 
 
 _SPACES = _inside(ASCII_SPACE, OTHER_SPACE)
+_CONTROLS = _inside(ASCII_CONTROL, r"\p{C}\x{FFFD}")
+_BLANKS = _inside(r"\t\n\r ", r"\p{Zs}")
+_PUNCTS = _inside(ASCII_PUNCT, r"\p{P}")
+_PLAIN = _outside(ASCII_SPACE + ASCII_PUNCT, OTHER_SPACE + r"\p{P}")
+_HIGH = r"[^\x00-\x7f]"
 
 
 def _sub(text: Column, pattern: str, replacement: str) -> Column:
@@ -107,7 +113,7 @@ def body(text: Column) -> Column:
 
 def clean_invalid(text: Column) -> Column:
     """Drop NUL, U+FFFD and control characters; every kind of white space becomes a blank."""
-    return _sub(_sub(text, CONTROL + r"|\x{FFFD}", ""), SPACE_SEPARATORS, " ")
+    return _sub(_sub(text, _CONTROLS, ""), _BLANKS, " ")
 
 
 def space_cjk(text: Column) -> Column:
@@ -190,15 +196,19 @@ def counter_words(text: Column) -> Column:
 
 def punct_tokens(text: Column) -> Column:
     """Punctuation marks as single tokens, other runs whole."""
-    return F.regexp_extract_all(text, F.lit(f"[{PUNCT}]|[^{SPACE}{PUNCT}]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"{_PLAIN}+|{_PUNCTS}"), F.lit(0))
 
 
 def basic_tokens(text: Column, lower: bool = True) -> Column:
-    """Clean, space CJK, lower-case and strip accents (optional), split on punctuation."""
-    text = space_cjk(clean_invalid(text))
+    """Clean, space CJK, lower-case and strip accents (optional), split on punctuation.
+
+    Pure ASCII has neither accents nor CJK, and its blanks need no replacing before a split.
+    """
+    wide = space_cjk(clean_invalid(text))
     if lower:
-        text = strip_accents(F.lower(text))
-    return punct_tokens(text)
+        wide = strip_accents(F.lower(wide))
+    narrow = _sub(F.lower(text) if lower else text, f"[{ASCII_CONTROL}]", "")
+    return punct_tokens(F.when(text.rlike(_HIGH), wide).otherwise(narrow))
 
 
 def characters(text: Column) -> Column:
@@ -211,7 +221,7 @@ def is_whitespace(char: Column) -> Column:
 
 
 def is_control(char: Column) -> Column:
-    return char.rlike(rf"\A{CONTROL}\z")
+    return char.rlike(rf"\A{_CONTROLS}\z") & (char != "\ufffd")
 
 
 def is_punctuation(char: Column) -> Column:

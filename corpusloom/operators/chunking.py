@@ -98,7 +98,8 @@ def _strict_windows(size: int, overlap: int):
 
         return texts.map(split)
 
-    return windows
+    # declared nondeterministic so that an explode and its filter do not run it twice
+    return windows.asNondeterministic()
 
 
 def boundary_windows(text: Column, size: int = 1000, overlap: int = 200, strict: bool = False) -> Column:

@@ -91,13 +91,9 @@ def running_totals(
 
 def positional_split(df: DataFrame, order: Sequence[str], rate: float, out: str = "is_train") -> DataFrame:
     """First ``int(n * rate)`` rows train, the rest evaluate; no shuffling."""
-    total = df.agg(F.floor(F.count(F.lit(1)) * F.lit(rate)).alias("_cut"))
     numbered = with_position(df, order, "_position")
-    return (
-        numbered.join(F.broadcast(total))
-        .withColumn(out, F.col("_position") <= F.col("_cut"))
-        .drop("_position", "_cut")
-    )
+    cut = int(numbered.count() * rate)
+    return numbered.withColumn(out, F.col("_position") <= cut).drop("_position")
 
 
 def shuffled_position(df: DataFrame, key: str, seed: int, out: str = "position") -> DataFrame:
@@ -108,12 +104,11 @@ def shuffled_position(df: DataFrame, key: str, seed: int, out: str = "position")
 
 def full_batches(df: DataFrame, key: str, batch: int, seed: int) -> DataFrame:
     """Shuffled batches of exactly ``batch`` rows; the incomplete last one is dropped."""
-    cut = df.agg((F.floor(F.count(F.lit(1)) / batch) * batch).alias("_cut"))
     numbered = shuffled_position(df, key, seed, "_position")
+    cut = numbered.count() // batch * batch
     return (
-        numbered.join(F.broadcast(cut))
-        .where("_position <= _cut")
+        numbered.where(F.col("_position") <= cut)
         .withColumn("batch", F.floor((F.col("_position") - 1) / batch))
         .withColumn("slot", (F.col("_position") - 1) % batch)
-        .drop("_position", "_cut")
+        .drop("_position")
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.columns import literal_rows
 from corpusloom.operators.ordering import with_position
-from corpusloom.staging import small_enough
+from corpusloom.staging import small_enough, stage
 
 # Reserved tokens of the vocabulary kinds, in id order.
 SENTENCE_PAIR_SPECIALS = ("<pad>", "<unk>", "<eos>", "<sos>", "<mask>")
@@ -51,10 +51,23 @@ def build_by_count(
 ) -> DataFrame:
     """Most frequent first, equal counts by token; ``max_size`` counts without the specials."""
     words = counts.where((F.col("n") >= max(min_freq, 1)) & ~F.col("token").isin(*specials, ""))
-    vocab = _numbered(words.select("token", "n"), [F.desc("n"), "token"], specials)
-    if max_size is None:
-        return vocab
-    return vocab.where(F.col("id") < max_size + len(specials))
+    words = words.select("token", "n")
+    if max_size is not None:
+        words = _frequent(words, max_size)
+    vocab = _numbered(words, [F.desc("n"), "token"], specials)
+    return vocab if max_size is None else vocab.where(F.col("id") < max_size + len(specials))
+
+
+def _frequent(words: DataFrame, size: int) -> DataFrame:
+    """The words whose count reaches that of the ``size``-th word: all that can be among the
+    first ``size``. Found from the number of words per count, of which at most the ``size``
+    largest counts matter."""
+    kept = stage(words, "word-counts")
+    per_count = kept.groupBy("n").agg(F.count(F.lit(1)).alias("_words")).orderBy(F.desc("n")).limit(size)
+    so_far = F.sum("_words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    reached = per_count.withColumn("_so_far", so_far).where(F.col("_so_far") >= size)
+    least = reached.agg(F.max("n")).first()[0]
+    return kept if least is None else kept.where(F.col("n") >= least)
 
 
 def build_by_first_seen(
@@ -86,9 +99,9 @@ def extend(vocab: DataFrame, other: DataFrame, alphabetical: bool = False) -> Da
     """Append the tokens of ``other`` that are new, in its id order or sorted."""
     new = other.join(vocab.select("token"), "token", "left_anti")
     order = ["token"] if alphabetical else ["id"]
-    start = vocab.agg((F.max("id") + 1).alias("_start"))
-    placed = with_position(new.select("token", "id"), order, "_position").join(F.broadcast(start))
-    added = placed.select("token", (F.col("_position") - 1 + F.col("_start")).cast("int").alias("id"))
+    start = (vocab.agg(F.max("id")).first()[0] or 0) + 1
+    placed = with_position(new.select("token", "id"), order, "_position")
+    added = placed.select("token", (F.col("_position") - 1 + start).cast("int").alias("id"))
     return vocab.select("token", "id").unionByName(added)
 
 

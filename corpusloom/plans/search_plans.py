@@ -104,10 +104,12 @@ def bm25_chunks(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
     index = L.build_index(documents(spark, sf))
-    sizes = index.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))
-    # two one-row tables
-    return index.stats.join(F.broadcast(sizes)).select(
-        "n_docs", F.round("mean_length", 6).alias("mean_length"), "n_terms", "n_postings"
+    n_docs, mean_length = index.stats.first()
+    return index.terms.agg(
+        F.lit(n_docs).cast("bigint").alias("n_docs"),
+        F.round(F.lit(mean_length), 6).alias("mean_length"),
+        F.count(F.lit(1)).alias("n_terms"),
+        F.sum("df").alias("n_postings"),
     )
 
 
