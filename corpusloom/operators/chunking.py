@@ -139,7 +139,11 @@ def compose_pages(pages: Column) -> Column:
 
 
 def page_spans(pages: Column) -> Column:
-    """array<struct<start, end>> of each page in the composed text."""
+    """array<struct<start, end>> of each page in the composed text.
+
+    Meant for documents of up to some thousand pages; with pages as rows, running totals give
+    the same spans for any number of them.
+    """
     state = F.struct(
         F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")
     )
@@ -166,6 +170,22 @@ def page_of_offset(spans: Column, offset: Column) -> Column:
     return F.coalesce(F.get(hits, F.lit(0)), F.greatest(F.size(spans) - 1, F.lit(0)))
 
 
+def with_pages(chunks: Column, spans: Column) -> Column:
+    """Add the page of each chunk's start, before the chunks become rows."""
+    return let(
+        spans,
+        lambda ss: F.transform(
+            chunks,
+            lambda c: F.struct(
+                c["char_start"].alias("char_start"),
+                c["char_end"].alias("char_end"),
+                c["content"].alias("content"),
+                page_of_offset(ss, c["char_start"]).alias("page"),
+            ),
+        ),
+    )
+
+
 def page_ranges(page_count: Column, batch: int = 10) -> Column:
     """array<array<int>> of consecutive page indexes, ``batch`` at a time."""
     return F.transform(

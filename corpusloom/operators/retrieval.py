@@ -40,12 +40,14 @@ def grep(df: DataFrame, key: str, text: str, pattern: str, context: int = 0) ->
 def route(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """(qid, text) x (alias, doc_id) -> the documents named in each query.
 
-    Joined on the first word of the alias, then checked for the whole alias as words.
+    Joined on the longest word of the alias (the least common one, usually), then checked for
+    the whole alias as words.
     """
     named = aliases.select("doc_id", "alias", words(F.col("alias")).alias("_alias_words")).where(
         F.size("_alias_words") > 0
     )
-    named = named.withColumn("_word", F.get("_alias_words", F.lit(0)))
+    by_length = F.sort_array(F.transform("_alias_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False)
+    named = named.withColumn("_word", F.get(by_length, F.lit(0))["w"])
     asked = queries.select("qid", words(F.col("text")).alias("_query_words"))
     asked = asked.select("*", F.explode(F.array_distinct("_query_words")).alias("_word"))
 

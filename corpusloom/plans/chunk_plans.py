@@ -152,16 +152,10 @@ def chunk_pages(spark: SparkSession, sf: str) -> DataFrame:
     docs = texts(spark, sf, "documents").select(
         "doc_id", F.transform(F.split("text", "\n"), T.clean_recursive).alias("pages")
     )
-    composed = docs.select(
-        "doc_id", C.page_spans(F.col("pages")).alias("spans"), C.compose_pages(F.col("pages")).alias("t")
-    )
-    chunks = C.explode_chunks(composed, C.boundary_windows(F.col("t")), "doc_id", "spans")
-    return chunks.select(
-        "doc_id",
-        "char_start",
-        C.page_of_offset(F.col("spans"), F.col("char_start")).alias("page"),
-        F.length("content").alias("char_count"),
-    )
+    composed = docs.select("doc_id", "pages", C.compose_pages(F.col("pages")).alias("t"))
+    located = C.with_pages(C.boundary_windows(F.col("t")), C.page_spans(F.col("pages")))
+    chunks = C.explode_chunks(composed, located, "doc_id")
+    return chunks.select("doc_id", "char_start", "page", F.length("content").alias("char_count"))
 
 
 @query(

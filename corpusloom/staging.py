@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
+_written: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -32,7 +33,9 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{staging_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -51,3 +54,12 @@ def hinted(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it is small enough, else as it is. Counts ``df``: pass a
     stored table or something as cheap."""
     return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this process has staged; results still based on it become unreadable."""
+    jvm = spark.sparkContext._jvm
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(configuration).delete(path, True)

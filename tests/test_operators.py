@@ -121,3 +121,16 @@ def test_composition(spark):
     assert P.with_retry(flaky, pause=0.0)() == 7
     limited = P.bind(lambda df, n: df.limit(n), n=2)
     assert df.transform(limited).count() == 2
+
+
+def test_staged_tables_are_deleted_on_request(spark, monkeypatch):
+    from corpusloom import staging
+
+    monkeypatch.setattr(staging, "_written", [])
+    kept = staging.stage(spark.range(3), "t")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    staging.clear(spark)
+    import os
+
+    assert not os.path.exists(path)
