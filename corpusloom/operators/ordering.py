@@ -19,19 +19,15 @@ from corpusloom.staging import stage
 PART, LOCAL = "_part", "_local"
 
 
-def _partitions(df: DataFrame, parts: int | None) -> int:
-    return parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def place(df: DataFrame, order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
-    """Range-partition and sort by a total order; keep partition and place as columns."""
+    """Range-partition and sort by a total order; keep partition and place as columns.
+
+    Without ``parts`` small neighbouring partitions are merged at run time, which keeps their order.
+    """
     keys = [F.col(k) if isinstance(k, str) else k for k in order]
     slot = F.monotonically_increasing_id()
-    placed = (
-        df.repartitionByRange(_partitions(df, parts), *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn(LOCAL, slot)
-    )
+    ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    placed = ranged.sortWithinPartitions(*keys).withColumn(LOCAL, slot)
     placed = placed.withColumn(PART, F.shiftright(LOCAL, 33)).withColumn(
         LOCAL, F.col(LOCAL).bitwiseAND(F.lit((1 << 33) - 1))
     )
