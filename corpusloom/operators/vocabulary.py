@@ -114,7 +114,7 @@ def label_ids(labels: DataFrame, column: str) -> DataFrame:
 def lookup(
     df: DataFrame,
     key: str,
-    tokens: str,
+    tokens: str | Column,
     vocab: DataFrame,
     unknown: int | None,
     out: str = "ids",
@@ -123,7 +123,8 @@ def lookup(
     """Replace the token array by its ids; ``key`` identifies the row.
 
     Unknown tokens get the id ``unknown``; with None they fail the query. Rows are shuffled by
-    key while still compact, so that collecting the ids of a row needs no second shuffle. A
+    key before they are exploded, so that collecting the ids of a row needs no second shuffle;
+    ``tokens`` may be an expression over a text column, which is smaller to move than tokens. A
     vocabulary within ``broadcast_rows`` is broadcast; a larger one is joined by token with
     the frequent tokens salted over ``SALTS`` copies of the vocabulary.
     """

@@ -61,7 +61,7 @@ def features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     examples = A.training_examples(A.read_questions(articles(spark, sf)))
     ready = examples.withColumns(
         {
-            "pieces": F.transform("doc_tokens", lambda w: T.basic_tokens(w)),
+            "pieces": T.basic_tokens_of_words(F.col("doc_tokens")),
             "query": T.basic_tokens(F.col("question")),
             "answer_tokens": T.basic_tokens(F.col("answer_text")),
         }

@@ -156,8 +156,9 @@ _IDS_SQL = f"""(SELECT doc_id, list(coalesce(v.id, 1) ORDER BY place) AS ids FRO
 
 
 def encoded_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = texts(spark, sf, "documents").select("doc_id", T.counter_words(F.col("text")).alias("ws"))
-    return V.lookup(docs, "doc_id", "ws", document_vocabulary(spark, sf, max_size=5000), E.UNK)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    tokens = T.counter_words(F.col("text"))
+    return V.lookup(docs, "doc_id", tokens, document_vocabulary(spark, sf, max_size=5000), E.UNK)
 
 
 @query(

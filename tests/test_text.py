@@ -33,6 +33,16 @@ def test_hangul_and_marks_are_decomposed(spark):
         assert value(spark, text, T.strip_accents) == plain
 
 
+def test_tokens_of_words_equal_tokens_of_each(spark):
+    words = ["Héllo,", "UN\u00a0a", "博x", "\u0005", "plain-Text.", "각"]
+    array = F.array(*[F.lit(w) for w in words])
+    row = spark.range(1).select(
+        T.basic_tokens_of_words(array).alias("a"), F.transform(array, lambda w: T.basic_tokens(w)).alias("b"),
+        T.basic_tokens_of_words(F.array().cast("array<string>")).alias("c"),
+    ).first()
+    assert row["a"] == row["b"] and row["c"] == []
+
+
 def test_word_pieces():
     assert split_word("unwanted", VOCAB) == ["un", "##want", "##ed"]
     assert split_word("unwantedX", VOCAB) == ["[UNK]"]
