@@ -126,7 +126,7 @@ def company_names(spark: SparkSession, sf: str) -> DataFrame:
 def company_join(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata injection: the side table's value wins where there is one."""
     regions = table(spark, sf, "region").where("r_regionkey < 3")
-    names = table(spark, sf, "nation").join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey"))
+    names = table(spark, sf, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     rows = table(spark, sf, "customer")
     joined = rows.join(names, rows["c_nationkey"] == names["n_nationkey"], "left")
     return joined.select("c_custkey", "c_mktsegment", F.coalesce("r_name", "c_mktsegment").alias("name"))

@@ -39,14 +39,14 @@ def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT conv_id AS id, max_by(role, turn) AS role, max(turn)::BIGINT AS version FROM conversations GROUP BY conv_id",
 )
 def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
-    """Micro-batches merged into a table by id."""
+    """Micro-batches upserted by id."""
     schema = table(spark, sf, "conversations").schema
     stream = flows.file_stream(spark, sf, schema, glob="conversations.parquet").select(
         F.col("conv_id").alias("id"), "role", F.col("turn").alias("version")
     )
     path, state = fresh_path(spark, "stream-table"), fresh_path(spark, "stream-state")
     flows.to_upserts(stream, path, "id", ["version"], state).awaitTermination()
-    return spark.read.parquet(path)
+    return flows.current_rows(spark, path, "id", ["version"])
 
 
 @query(

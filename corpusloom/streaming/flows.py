@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.operators.tables import upsert_table
+from corpusloom.operators.tables import last_wins
 from corpusloom.staging import fresh_path
 
 Step = Callable[[DataFrame], DataFrame]
@@ -32,17 +32,29 @@ def to_files(stream: DataFrame, step: Step, path: str, checkpoint: str, once: bo
 
 
 def to_upserts(stream: DataFrame, path: str, key: str, version: list[str], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Upsert each micro-batch; a repeated batch changes nothing, so restarts are safe."""
+    """Upsert each micro-batch at the cost of the batch, not of the table.
 
-    def merge(batch: DataFrame, _: int) -> None:
-        upsert_table(batch.sparkSession, path, batch, key, version)
+    A batch keeps its newest row per key and goes to a folder of its own, named by its number;
+    a repeated batch replaces its folder, so restarts are safe. ``current_rows`` resolves the
+    folders, ``tables.upsert_table`` merges them into one table from time to time.
+    """
 
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    def write(batch: DataFrame, number: int) -> None:
+        newest = last_wins(batch, key, version)
+        newest.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
+def current_rows(spark: SparkSession, path: str, key: str, version: list[str]) -> DataFrame:
+    """The newest row of every key: of the latest batch, then of the highest version."""
+    rows = spark.read.parquet(path)
+    return last_wins(rows, key, ["batch_no", *version]).drop("batch_no")
+
+
 def replay(spark: SparkSession, folder: str, schema, step: Step, glob: str = "*.parquet") -> DataFrame:
     """Run all files present through the streaming form of a step and return what was written."""
     out, state = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-state")

@@ -134,3 +134,17 @@ def test_staged_tables_are_deleted_on_request(spark, monkeypatch):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_streamed_upserts_survive_repeats(spark, tmp_path):
+    from corpusloom.streaming import flows
+
+    schema = "id int, v int, x string"
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    batches = ([(1, 1, "a"), (1, 2, "b"), (2, 5, "c")], [(2, 1, "new"), (3, 1, "d")])
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = flows.file_stream(spark, source, schema)
+        flows.to_upserts(stream, out, "id", ["v"], state).awaitTermination()
+    found = {r.id: r.x for r in flows.current_rows(spark, out, "id", ["v"]).collect()}
+    assert found == {1: "b", 2: "new", 3: "d"}
