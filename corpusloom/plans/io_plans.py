@@ -10,7 +10,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import tables as B
 from corpusloom.operators.examples import dataset_examples
 from corpusloom.plans import sqltext as S
-from corpusloom.plans.chunk_plans import structural_chunks
+from corpusloom.plans.chunk_plans import STRUCTURAL_SQL, structural_chunks
 from corpusloom.plans.registry import query, table, texts
 from corpusloom.sources import readers as R
 from corpusloom.sources import writers as W
@@ -288,7 +288,11 @@ def collection_count(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(F.lit(missing).cast("bigint").alias("missing"), F.lit(stored).cast("bigint").alias("stored"), F.count(F.lit(1)).alias("appended"))
 
 
-@query("structural_collection")
+@query(
+    "structural_collection",
+    f"""SELECT doc_id::VARCHAR AS doc_id, count(*)::BIGINT AS n_chunks, sum(length(c.text))::BIGINT AS chars,
+          min(sha256(doc_id || '|0|' || chunk_no)) AS first_id FROM ({STRUCTURAL_SQL}) GROUP BY doc_id""",
+)
 def structural_collection(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of Markdown pages with ids, stored once and counted by document."""
     chunks = structural_chunks(spark, sf).select(
