@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import attach, fresh_path, plain_text, stage, union
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small stores: no disk space is to be set aside in advance for each.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+#: Narrow rows that one partition of the state is meant for.
+STATE_ROWS = 1_000_000
 
 
 def sha256(text: Column) -> Column:
@@ -40,14 +46,15 @@ def store_arrivals(docs: DataFrame, digest=sha256) -> str:
     return folder
 
 
-def stream_state(spark, arrivals: str, checkpoint: str, bytes_per_batch: int = 64 << 30) -> DataFrame:
+def stream_state(spark, arrivals: str, checkpoint: str, partitions: int, bytes_per_batch: int = 64 << 30) -> DataFrame:
     """Take in what is new in ``arrivals`` and return the state: one row per digest.
 
-    A later call with the same checkpoint reads only files that came since. Micro-batches are
-    bounded by ``bytes_per_batch`` of narrow rows.
+    A later call with the same checkpoint reads only files that came since; the first one fixes
+    the number of partitions. Micro-batches are bounded by ``bytes_per_batch`` of narrow rows.
     """
     session = spark.newSession()
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    for key, value in {**STATE_STORE, "spark.sql.shuffle.partitions": str(partitions)}.items():
+        session.conf.set(key, value)
     schema = spark.read.parquet(arrivals).schema
     query = (
         session.readStream.schema(schema)
@@ -90,9 +97,9 @@ def deduplicate(docs: DataFrame, digest=sha256) -> DataFrame:
     rows = spark.read.parquet(arrivals)
     total = rows.count()
     if total:
-        groups = stage(
-            stream_state(spark, arrivals, fresh_path(spark, "dedup-state")).filter("n > 1"), "dedup-groups"
-        )
+        partitions = max(8, min(total // STATE_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        state = stream_state(spark, arrivals, fresh_path(spark, "dedup-state"), partitions)
+        groups = stage(state.filter("n > 1"), "dedup-groups")
     else:
         groups = rows.select("digest", F.lit(0).cast("long").alias("n"), F.struct("doc_id", "place", "file").alias("keep"))
     differing = stage(collided(docs, groups, total, digest), "dedup-collisions")
