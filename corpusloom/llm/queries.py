@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, hilbert_shards
+from corpusloom.llm import decontaminate, exact_dedup, hilbert_shards, simhash_dedup
 from corpusloom.llm.common import table
 
 
+def op2_anchor_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash_dedup.components(table(spark, folder, "documents"))
+    # bigint to hex: two's complement digits, which are those of the unsigned value.
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert_shards.assign(table(spark, folder, "documents"), shards=24)
 
 
+def op8_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op9_streaming_dedup(spark: SparkSession, folder: str) -> DataFrame:
     decided = exact_dedup.deduplicate(table(spark, folder, "documents"))
     return decided.select(
@@ -31,7 +46,9 @@ FROM d
 """
 
 QUERIES = {
+    "op2_anchor_simhash": op2_anchor_simhash,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_streaming_dedup": op9_streaming_dedup,
 }
 ORACLES = {"op9_streaming_dedup": OP9_SQL}
