@@ -28,6 +28,8 @@ STATE_STORE = {
 }
 #: Narrow rows that one partition of the state is meant for.
 STATE_ROWS = 1_000_000
+#: Bound of the broadcast table that tells which texts may have a hit digest.
+SLOTS = 1 << 20
 
 
 def sha256(text: Column) -> Column:
@@ -80,8 +82,13 @@ def collided(docs: DataFrame, hits: DataFrame, total: int, digest=sha256) -> Dat
     """Digests of ``hits`` under which the full bytes of the texts differ.
 
     The texts behind hit digests are fetched again and merged by their bytes, in each task first.
+    A broadcast table of at most SLOTS hash slots of hit digests keeps most other texts from being
+    shuffled; it only spares work, the join on the digest decides.
     """
+    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS))
+    slots = F.broadcast(hits.select(slot.alias("slot")).distinct())
     texts = docs.select(plain_text().alias("text")).withColumn("digest", digest(F.col("text")))
+    texts = texts.withColumn("slot", slot).join(slots, "slot", "left_semi").drop("slot")
     found = attach(texts, hits.select("digest", "n"), ["digest"], "n", total, "left_semi")
     classes = found.groupBy("digest", "text").agg(F.count("*").alias("n"))
     return classes.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
