@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, exact_dedup, hilbert_shards, simhash_dedup
+from corpusloom.llm import byte_bpe, decontaminate, exact_dedup, hilbert_shards, html_text, simhash_dedup
 from corpusloom.llm.common import table
 
 
+def op1_text_density(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op2_anchor_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dedup.components(table(spark, folder, "documents"))
     # bigint to hex: two's complement digits, which are those of the unsigned value.
@@ -19,6 +24,21 @@ def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert_shards.assign(table(spark, folder, "documents"), shards=24)
 
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def bpe_tokenizer(spark: SparkSession) -> byte_bpe.Tokenizer:
+    return byte_bpe.Tokenizer(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op5_matrix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = bpe_tokenizer(spark)
+    encoded = tokenizer.encode(table(spark, folder, "documents"), keep=["doc_id"])
+    return tokenizer.decode(encoded).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op8_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -46,8 +66,10 @@ FROM d
 """
 
 QUERIES = {
+    "op1_text_density": op1_text_density,
     "op2_anchor_simhash": op2_anchor_simhash,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_matrix_bpe": op5_matrix_bpe,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_streaming_dedup": op9_streaming_dedup,
 }
