@@ -254,17 +254,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         F.sort_array(F.flatten(F.collect_list("ranges"))).alias("ranges"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    joined = F.pandas_udf(_join_ranges, "array<array<bigint>>")
     words = rows.mapInArrow(_mark_batches(spark.sparkContext.broadcast([]), window), _MARKED_DDL)
     return words.drop("ranges", "items").join(hits, "row", "left").select(
         "doc_id",
         "n_words",
-        _joined(F.coalesce("ranges", F.expr("cast(array() as array<array<bigint>>)"))).alias("ranges"),
+        joined(F.coalesce("ranges", F.expr("cast(array() as array<array<bigint>>)"))).alias("ranges"),
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
     )
 
 
-@F.pandas_udf("array<array<bigint>>")
-def _joined(column):
+def _join_ranges(column):
     """Sorted ranges, overlapping ones merged."""
 
     def merge(ranges):

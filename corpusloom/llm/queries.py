@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, decontaminate, exact_dedup, hilbert_shards, html_text, simhash_dedup
+from corpusloom.llm import byte_bpe, decontaminate, exact_dedup, hilbert_shards, html_text, simhash_dedup, substring_dedup
 from corpusloom.llm.common import table
 
 
@@ -55,6 +55,11 @@ def op9_streaming_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 OP9_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id,
@@ -72,5 +77,6 @@ QUERIES = {
     "op5_matrix_bpe": op5_matrix_bpe,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_streaming_dedup": op9_streaming_dedup,
+    "op10_super_kmers": op10_super_kmers,
 }
 ORACLES = {"op9_streaming_dedup": OP9_SQL}
