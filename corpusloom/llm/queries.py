@@ -6,8 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, decontaminate, exact_dedup, hilbert_shards, html_text, simhash_dedup, substring_dedup
-from corpusloom.llm.common import table
+from corpusloom.llm import (
+    byte_bpe,
+    decontaminate,
+    exact_dedup,
+    hilbert_shards,
+    html_text,
+    language_id,
+    quality_fm,
+    simhash_dedup,
+    substring_dedup,
+)
+from corpusloom.llm.common import fold, table
 
 
 def op1_text_density(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +49,19 @@ def op5_matrix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_byte_gru(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    predicted = language_id.predict(docs, language_id.fit(docs))
+    return predicted.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = quality_fm.score(docs, quality_fm.fit(docs, table(spark, folder, "labels")))
+    predicted = (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", predicted)
+
+
 def op8_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -75,6 +98,8 @@ QUERIES = {
     "op2_anchor_simhash": op2_anchor_simhash,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_matrix_bpe": op5_matrix_bpe,
+    "op6_byte_gru": op6_byte_gru,
+    "op7_quality_fm": op7_quality_fm,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_streaming_dedup": op9_streaming_dedup,
     "op10_super_kmers": op10_super_kmers,
