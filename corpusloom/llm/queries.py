@@ -13,6 +13,7 @@ from corpusloom.llm import (
     hilbert_shards,
     html_text,
     language_id,
+    lm_score,
     quality_fm,
     simhash_dedup,
     substring_dedup,
@@ -30,6 +31,11 @@ def op2_anchor_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_elias_fano_lm(spark: SparkSession, folder: str) -> DataFrame:
+    scored = lm_score.score(table(spark, folder, "documents"), learn=fold() != 1)
+    return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert_shards.assign(table(spark, folder, "documents"), shards=24)
 
@@ -96,6 +102,7 @@ FROM d
 QUERIES = {
     "op1_text_density": op1_text_density,
     "op2_anchor_simhash": op2_anchor_simhash,
+    "op3_elias_fano_lm": op3_elias_fano_lm,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_matrix_bpe": op5_matrix_bpe,
     "op6_byte_gru": op6_byte_gru,

@@ -82,3 +82,48 @@ def removed_words(docs, window=20):
                 gone.update(range(i, i + window))
         out.append((d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return out
+
+
+def lm_base(docs, learn):
+    """docs: (doc_id, text); tokens, known tokens, training tokens and unigram score of each."""
+    import collections
+    import math
+
+    tokens = {d: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), ""] for d, t in docs}
+    counts = collections.Counter(w for d, ws in tokens.items() if learn(d) for w in ws)
+    n = sum(counts.values())
+    z = n + 0.5 * (len(counts) + 1)
+    return {
+        d: (len(ws), sum(w in counts for w in ws), n, sum(math.log10((counts[w] + 0.5) / z) for w in ws))
+        for d, ws in tokens.items()
+    }
+
+
+def lm_bigram(docs, learn, frequent, discount):
+    """The class-based bigram score without shards, trie or quantisation. frequent: set of words."""
+    import collections
+    import math
+
+    tokens = {d: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), ""] for d, t in docs}
+    counts = collections.Counter(w for d, ws in tokens.items() if learn(d) for w in ws)
+    z = sum(counts.values()) + 0.5 * (len(counts) + 1)
+    share = lambda w: (counts[w] + 0.5) / z
+    rare = 1 - sum(share(w) for w in [*frequent, ""])
+    kind = lambda w: w if w in frequent or not w else None
+    pairs, uses, types = collections.Counter(), collections.Counter(), collections.Counter()
+    for d, ws in tokens.items():
+        if learn(d):
+            for v, w in zip([0, *ws], ws):
+                types[v] += (v, kind(w)) not in pairs
+                pairs[v, kind(w)] += 1
+                uses[v] += 1
+    out = {}
+    for d, ws in tokens.items():
+        total = 0.0
+        for v, w in zip([0, *ws], ws):
+            k = kind(w)
+            own = rare if k is None else share(w)
+            p = own if not uses[v] else max(pairs[v, k] - discount, 0) / uses[v] + discount * types[v] / uses[v] * own
+            total += math.log10(p) + (math.log10(share(w) / rare) if k is None else 0)
+        out[d] = total
+    return out
