@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +36,8 @@ from corpusloom.llm.common import attach, stage, union
 WINDOW = 20
 #: Words of the sequences among which the minimiser is chosen.
 M = 6
-#: Super-k-mers of a minimiser that one task may hold at once.
-CROWD = 20_000
+#: Super-k-mers of a minimiser that one task may hold at once, some 20 MB.
+CROWD = 100_000
 #: Bits of the maps: 16 MB each.
 MAP_BITS = 27
 _CHUNK_BITS = 15
@@ -49,59 +48,122 @@ _R = 0x9E3779B97F4A7C15 | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
 
 
-class _WordHash(dict):
-    """Hashes of words, remembered up to a bound."""
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PLACE_BITS = 24
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word, 7)
-        return value
 
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
-_hashes = _WordHash()
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+
+def _rolling_min(x: np.ndarray, width: int) -> np.ndarray:
+    span = 1
+    while 2 * span <= width:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def super_kmers(words: list[bytes], window: int = WINDOW, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, minimiser) of each run of windows with one minimiser."""
-    count = len(words) - window + 1
-    if count < 1:
-        empty = np.empty(0, dtype=np.int64)
-        return empty, empty, empty
-    one = np.array([_hashes[w] for w in words], dtype=np.uint64)
-    sequence = one[: len(one) - m + 1].copy()
-    for j in range(1, m):
-        sequence *= np.uint64(_R)
-        sequence += one[j : len(one) - m + 1 + j]
-    sequence ^= sequence >> np.uint64(31)
-    sequence *= np.uint64(0xBF58476D1CE4E5B9)
-    sequence ^= sequence >> np.uint64(29)
-    place = np.lib.stride_tricks.sliding_window_view(sequence, window - m + 1).argmin(axis=1) + np.arange(count)
-    cuts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-    return cuts, np.diff(np.append(cuts, count)), sequence[place[cuts]].view(np.int64)
+class Cut:
+    """Some texts cut into words and super-k-mers, all at once.
+
+    ``joined`` has the words in order, one space after each; word i is at ``start[i]:end[i]`` of
+    it. Super-k-mer k begins at word ``first[k]``, which is word ``number[k]`` of text ``text[k]``,
+    and has ``count[k]`` windows with the minimiser ``minimiser[k]``.
+    """
+
+    def __init__(self, texts: list[bytes], window: int, m: int):
+        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        space = _SPACE[data]
+        before = np.concatenate([[True], space[:-1]])
+        begins = np.flatnonzero(~space & before)
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        joined = data[~(space & before)].copy()
+        breaks = _SPACE[joined]
+        joined[breaks] = 32
+        self.joined = joined.tobytes()
+        self.end = np.flatnonzero(breaks)
+        self.start = np.concatenate([[0], self.end + 1])[:-1]
+        of_text = np.searchsorted(bounds, begins, side="right")
+        self.words = len(begins)
+        self.first = self.number = self.count = self.text = np.empty(0, dtype=np.int64)
+        self.minimiser = np.empty(0, dtype=np.int64)
+        windows = self.words - window + 1
+        if windows < 1:
+            return
+        sums = np.zeros(len(joined) + 1, dtype=np.uint64)
+        np.cumsum((joined + np.uint64(1)) * _power("up", _R, len(joined)), out=sums[1:])
+        one = _mixed((sums[self.end] - sums[self.start]) * _power("down", _R_INVERSE, len(joined))[self.start])
+        sequence = one[: len(one) - m + 1].copy()
+        for j in range(1, m):
+            sequence *= np.uint64(_R)
+            sequence += one[j : len(one) - m + 1 + j]
+        _mixed(sequence)
+        low = np.uint64((1 << _PLACE_BITS) - 1)
+        placed = (sequence & ~low) | np.arange(len(sequence), dtype=np.uint64)  # the leftmost of equal ones
+        place = (_rolling_min(placed, window - m + 1) & low).astype(np.int64)
+        valid = of_text[:windows] == of_text[window - 1 :]
+        new = np.ones(windows, dtype=bool)
+        new[1:] = (place[1:] != place[:-1]) | ~valid[:-1] | (of_text[1:windows] != of_text[: windows - 1])
+        heads = np.flatnonzero(new & valid)
+        ends = np.append(np.flatnonzero(new | ~valid), windows)
+        self.first = heads
+        self.count = ends[np.searchsorted(ends, heads, side="right")] - heads
+        self.text = of_text[heads]
+        first_word = np.searchsorted(of_text, np.arange(len(texts)))
+        self.number = heads - first_word[self.text]
+        self.minimiser = sequence[place[heads]].view(np.int64)
+
+
+#: Bytes of text that are cut at once; a longer text goes in pieces that overlap by a window.
+PIECE = 1 << 20
+
+
+def cut_pieces(keys: list, texts: list[bytes | None], window: int, m: int) -> Iterator[tuple[list, np.ndarray, Cut]]:
+    """(keys, number of the first word, cut) of texts by PIECE bytes, in order."""
+    some, names, size = [], [], 0
+    for key, text in zip(keys, texts):
+        offset = 0
+        while text is not None and len(text) > PIECE:
+            at = PIECE
+            while at < len(text) and not _SPACE[text[at]]:
+                at += 1
+            cut = Cut([text[:at]], window, m)
+            yield [key], np.array([offset]), cut
+            kept = min(cut.words, window - 1)
+            offset += cut.words - kept
+            rest = text[at:]
+            text = (cut.joined[cut.start[cut.words - kept] :] if kept else b"") + rest
+            if not rest:
+                text = None
+        if text:
+            if offset:
+                yield [key], np.array([offset]), Cut([text], window, m)
+                continue
+            some.append(text)
+            names.append(key)
+            size += len(text)
+            if size > PIECE:
+                yield names, np.zeros(len(some), dtype=np.int64), Cut(some, window, m)
+                some, names, size = [], [], 0
+    if some:
+        yield names, np.zeros(len(some), dtype=np.int64), Cut(some, window, m)
 
 
 def _minimisers(window: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, size = [], 0
-            for text in batch.column(0):
-                _, _, minimiser = super_kmers(words_of(text.as_py()), window, m)
-                found.append(minimiser)
-                size += len(minimiser)
-                if size > 100_000:
-                    yield _counted(found)
-                    found, size = [], 0
-            if size:
-                yield _counted(found)
-
-    def _counted(found):
-        values, counts = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], names=["h", "n"])
+            for _, _, cut in cut_pieces([None] * batch.num_rows, batch.column(0).to_pylist(), window, m):
+                values, counts = np.unique(cut.minimiser, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], names=["h", "n"])
 
     return run
 
@@ -151,29 +213,27 @@ def _pack(repeated, crowded, window: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats, crowds = np.frombuffer(repeated.value, dtype=np.uint8), np.frombuffer(crowded.value, dtype=np.uint8)
         for batch in batches:
-            rows, size = [], 0
-            for doc, version, text in zip(*(batch.column(i) for i in range(3))):
-                doc, version = doc.as_py(), version.as_py()
-                words = words_of(text.as_py())
-                first, count, minimiser = super_kmers(words, window, m)
-                sent = np.flatnonzero(_set(repeats, minimiser))
-                many = _set(crowds, minimiser[sent])
-                for s, n, h, split in zip(first[sent].tolist(), count[sent].tolist(), minimiser[sent].tolist(), many.tolist()):
-                    pieces = [(i, i + window) for i in range(s, s + n)] if split else [(s, s + n + window - 1)]
-                    for a, b in pieces:
-                        packed = b" ".join(words[a:b])
-                        rows.append((h, doc, version, a, split, packed))
-                        size += len(packed)
-                if size > 4 << 20:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows)
-
-    def _batch(rows):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-        names = ["h", "doc", "version", "start", "crowded", "packed"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for names, offset, cut in cut_pieces(keys, batch.column(2).to_pylist(), window, m):
+                sent = np.flatnonzero(_set(repeats, cut.minimiser))
+                if not len(sent):
+                    continue
+                # Single windows of a crowded minimiser, else all its windows in one string.
+                many = _set(crowds, cut.minimiser[sent])
+                times = np.where(many, cut.count[sent], 1)
+                which = np.repeat(sent, times)
+                step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+                first = cut.first[which] + step
+                last = first + window - 1 + np.where(np.repeat(many, times), 0, cut.count[which] - 1)
+                joined = cut.joined
+                packed = [joined[a:b] for a, b in zip(cut.start[first].tolist(), cut.end[last].tolist())]
+                doc, version = (np.array([n[i] for n in names], dtype=np.int64)[cut.text[which]] for i in (0, 1))
+                start = (cut.number[which] + step + offset[cut.text[which]]).astype(np.int32)
+                columns = [cut.minimiser[which], doc, version, start, np.repeat(many, times)]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, columns), pa.array(packed, pa.binary())],
+                    names=["h", "doc", "version", "start", "crowded", "packed"],
+                )
 
     return run
 
@@ -251,31 +311,36 @@ def _bucket(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, key = 0, None
         for batch in batches:
             h = batch.column(0).to_numpy()
             if not len(h):
                 continue
-            cuts = (np.flatnonzero(h[1:] != h[:-1]) + 1).tolist()
-            if held and held[-1].column(0)[-1].as_py() != h[0] and size > COMPARED:
-                yield _compare(held)
-                held, size = [], 0
+            column = batch.column(4)
+            weight = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(h) + 1].astype(np.int64)
+            cuts = np.flatnonzero(h[1:] != h[:-1]) + 1  # buckets are whole at these rows
+            if held and h[0] != key:
+                cuts = np.concatenate([[0], cuts])
             at = 0
-            for cut in cuts:
-                weight = size + _bytes(batch, at, cut)
-                if weight > COMPARED:
+            while len(cuts):
+                # As many whole buckets as fit, one at least.
+                room = np.searchsorted(weight[cuts], weight[at] + COMPARED - size, side="right")
+                if room == len(cuts) and weight[-1] - weight[at] + size <= COMPARED:
+                    break
+                cut = int(cuts[max(room, 1) - 1])
+                if cut > at:
                     held.append(batch.slice(at, cut - at))
+                if held:
                     yield _compare(held)
-                    held, size, at = [], 0, cut
-            held.append(batch.slice(at))
-            size += _bytes(batch, at, len(h))
+                held, size, at = [], 0, cut
+                cuts = cuts[max(room, 1) :]
+            if at < len(h):
+                held.append(batch.slice(at))
+                size += int(weight[-1] - weight[at])
+            key = h[-1]
         if held:
             yield _compare(held)
 
-    def _bytes(batch, at, end):
-        offsets = np.frombuffer(batch.column(4).buffers()[1], dtype=np.int32)[batch.column(4).offset :]
-        return int(offsets[end] - offsets[at])
-
     def _compare(held):
         whole = pa.Table.from_batches(held)
         doc, version, start = (whole.column(i).to_numpy() for i in (1, 2, 3))
@@ -302,14 +367,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFra
     """Spans of words [begin, end) covered by windows that occur earlier: doc, version, begin, end.
     Spans of one document may overlap."""
     spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_minimisers(window, m), "h long, n long")
+    counts = docs.select(F.encode("text", "utf-8")).mapInArrow(_minimisers(window, m), "h long, n long")
     counts = counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     slot = F.shiftrightunsigned("h", 64 - MAP_BITS).alias("slot")
     counts = stage(counts.select(slot, (F.col("n") > CROWD).alias("crowded")), "minimisers")
     repeated = _bit_map(counts.select("slot").distinct())
     crowded = _bit_map(counts.filter("crowded").select("slot").distinct())
     share = spark.sparkContext.broadcast
-    packed = _keyed(docs).select("doc", "version", "text").mapInArrow(
+    packed = _keyed(docs).select("doc", "version", F.encode("text", "utf-8")).mapInArrow(
         _pack(share(repeated.tobytes()), share(crowded.tobytes()), window, m), _PACKED
     )
     if crowded.any():
@@ -341,14 +406,19 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, gone, kept = [], [], []
             for text, spans in zip(batch.column(1), batch.column(2)):
                 words = words_of(text.as_py())
+                if not spans.is_valid:
+                    total.append(len(words))
+                    gone.append(0)
+                    kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+                    continue
                 mask = np.zeros(len(words) + 1, dtype=np.int64)
-                for span in spans.as_py() or ():
+                for span in spans.as_py():
                     mask[span["begin"]] += 1
                     mask[span["end"]] -= 1
                 covered = np.cumsum(mask)[:-1] > 0
                 total.append(len(words))
                 gone.append(int(covered.sum()))
-                kept.append(b" ".join(words if not gone[-1] else [words[i] for i in np.flatnonzero(~covered).tolist()]).decode("utf-8", "surrogatepass"))
+                kept.append(b" ".join([words[i] for i in np.flatnonzero(~covered).tolist()]).decode("utf-8", "surrogatepass"))
             columns = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept"])
 
