@@ -267,23 +267,21 @@ def default_label(prefix: str, size: int, overlap: int) -> str:
 def answer_number(value: Column, unit: Column) -> Column:
     """Number answers: no symbols or separators, scaled by unit, parentheses negative.
 
+    The decimal point is moved in the text, so numbers of any length keep all their places.
     Values with other characters than a number, its symbols and separators give ``N/A``.
     """
     trimmed = strip(value)
-    negative = trimmed.rlike(r"\A\(.*\)\z")
     digits = _sub(trimmed, r"[\s,()$€£¥%]", "")
-    number = F.expr("NULL").cast("decimal(38,6)")
-    number = F.when(
-        digits.rlike(r"\A-?[0-9]+(\.[0-9]+)?\z"), digits.cast("decimal(28,6)")
-    ).otherwise(number)
-    scale = (
-        F.when(F.lower(unit) == "thousands", 1000)
-        .when(F.lower(unit) == "millions", 1000000)
-        .otherwise(1)
-    )
-    scaled = number * scale.cast("decimal(8,0)") * F.when(negative, -1).otherwise(1)
-    text = _sub(_sub(scaled.cast("decimal(38,6)").cast("string"), r"0+\z", ""), r"\.\z", "")
-    return F.coalesce(text, F.lit("N/A"))
+    usable = digits.rlike(r"\A-?[0-9]+(\.[0-9]+)?\z")
+    negative = trimmed.rlike(r"\A\(.*\)\z") != digits.startswith("-")
+    places = F.when(F.lower(unit) == "thousands", 3).when(F.lower(unit) == "millions", 6).otherwise(0)
+    whole = F.regexp_extract(digits, r"\A-?([0-9]*)", 1)
+    part = F.regexp_extract(digits, r"\.([0-9]+)\z", 1)
+    moved = F.concat(whole, F.rpad(F.substring(part, F.lit(1), places), places, "0"))
+    rest = _sub(F.substring(part, places + 1, F.length(part)), r"0+\z", "")
+    amount = F.concat(_sub(moved, r"\A0+(?=[0-9])", ""), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))
+    signed = F.concat(F.when(negative & (amount != "0"), "-").otherwise(""), amount)
+    return F.coalesce(F.when(usable, signed), F.lit("N/A"))
 
 
 def answer_boolean(value: Column) -> Column:

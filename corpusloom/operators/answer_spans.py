@@ -254,13 +254,18 @@ def final_text(predicted: Column, original: Column, lower: bool = True) -> Colum
 
 
 def n_best(
-    candidates: DataFrame, n: int = 20, with_null: bool = False, lower: bool = True
+    candidates: DataFrame,
+    n: int = 20,
+    nulls: DataFrame | None = None,
+    questions: DataFrame | None = None,
+    lower: bool = True,
 ) -> DataFrame:
     """The ``n`` best distinct answer texts of each question with their probabilities.
 
-    Input: candidate_spans joined with the question's doc_tokens (word array); with
-    ``with_null`` also null_start_logit and null_end_logit (see ``null_scores``), which add the
-    empty answer. Each text keeps its best span, chosen per (question, text) before questions
+    Input: candidate_spans joined with the question's doc_tokens (word array). ``nulls`` (see
+    ``null_scores``) adds the empty answer with its logits, behind equal sums; if it is not among
+    the best n it follows them. ``questions`` (qas_id) names questions that get a row in any case:
+    the text "empty" with logits 0 where there is neither candidate nor null. Each text keeps its best span, chosen per (question, text) before questions
     are grouped, so one question with very many features is reduced in parallel.
     """
     low, high = F.get("token_to_orig", F.col("start_index")), F.get("token_to_orig", F.col("end_index"))
@@ -276,13 +281,36 @@ def n_best(
             (-(F.col("start_logit") + F.col("end_logit"))).alias("k"), "feature_index", "start_index", "end_index"
         ).alias("_order"),
     )
+    if nulls is not None:
+        last = F.lit(2**31 - 1)
+        texts = texts.unionByName(
+            nulls.select(
+                "qas_id",
+                F.lit("").alias("text"),
+                F.col("null_start_logit").alias("start_logit"),
+                F.col("null_end_logit").alias("end_logit"),
+                F.struct(
+                    (-F.col("score_null")).alias("k"), last.alias("feature_index"), last.alias("start_index"), last.alias("end_index")
+                ).alias("_order"),
+            )
+        )
     best = texts.groupBy("qas_id", "text").agg(
         F.min_by(F.struct("start_logit", "end_logit", "_order"), "_order").alias("_b")
     )
     ranked = best.select("qas_id", "text", "_b.*").withColumn(
         "rank", F.row_number().over(Window.partitionBy("qas_id").orderBy("_order"))
     )
-    return ranked.where(F.col("rank") <= n).select("qas_id", "rank", "text", "start_logit", "end_logit")
+    kept = (F.col("rank") <= n) if nulls is None else (F.col("rank") <= n) | (F.col("text") == "")
+    found = ranked.where(kept).select(
+        "qas_id", F.least("rank", F.lit(n + 1)).alias("rank"), "text", "start_logit", "end_logit"
+    )
+    if questions is None:
+        return found
+    every = questions.select("qas_id").distinct().join(found, "qas_id", "left")
+    return every.select(
+        "qas_id", F.coalesce("rank", F.lit(1)).alias("rank"), F.coalesce("text", F.lit("empty")).alias("text"),
+        F.coalesce("start_logit", F.lit(0.0)).alias("start_logit"), F.coalesce("end_logit", F.lit(0.0)).alias("end_logit"),
+    )
 
 
 def null_scores(features: DataFrame) -> DataFrame:

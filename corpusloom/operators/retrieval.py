@@ -32,9 +32,7 @@ def grep(df: DataFrame, key: str, text: str, pattern: str, context: int = 0) ->
             ),
         ),
     )
-    # texts without any match are dropped before the lines are looked at
-    found = df.where(F.col(text).rlike(f"(?m){pattern}"))
-    return found.select(key, F.inline(hits))
+    return df.select(key, F.inline(hits))
 
 
 def route(queries: DataFrame, aliases: DataFrame) -> DataFrame:

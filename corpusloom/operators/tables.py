@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from corpusloom.functions.text import strip
 from corpusloom.staging import stage
@@ -52,10 +51,11 @@ def vector_rows(chunks: DataFrame) -> DataFrame:
 
 
 def last_wins(df: DataFrame, key: str, version: list[str]) -> DataFrame:
-    """One row per key: the one of highest version. Tasks keep one row per key before the
-    shuffle, so a key with very many copies costs no more than others."""
+    """One row per key: the one of highest version, of equal versions the one whose columns are
+    largest in the order of their hash. Tasks keep one row per key before the shuffle, so a key
+    with very many copies costs no more than others."""
     rest = [c for c in df.columns if c != key]
-    newest = F.max_by(F.struct(*rest), F.struct(*version)).alias("_row")
+    newest = F.max_by(F.struct(*rest), F.struct(*version, F.xxhash64(*rest).alias("_tie"))).alias("_row")
     return df.groupBy(key).agg(newest).select(key, "_row.*").select(*df.columns)
 
 
@@ -66,17 +66,19 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, version: list[str]) ->
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None if there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The table at ``path``, or None if nothing is there. A folder that cannot be read fails."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(path) if files.exists(place) else None
 
 
 def ensure_table(spark: SparkSession, path: str, schema: str, drop: bool = False) -> None:
     """Create an empty table if missing (or after dropping the old content)."""
-    if drop or read_table(spark, path) is None:
+    if drop:
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    elif read_table(spark, path) is None:
+        spark.createDataFrame([], schema).write.mode("errorifexists").parquet(path)
 
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: str, version: list[str]) -> None:
@@ -88,10 +90,11 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: str, ver
 
 
 def ingest(rows: DataFrame, path: str, drop_existing: bool = True) -> int:
-    """Write rows, replacing or appending; returns how many were written."""
-    before = 0 if drop_existing else table_count(rows.sparkSession, path)
-    rows.write.mode("overwrite" if drop_existing else "append").parquet(path)
-    return table_count(rows.sparkSession, path) - before
+    """Write rows, replacing or appending; returns how many were written, counted on the way."""
+    seen = Observation("ingest")
+    watched = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+    watched.write.mode("overwrite" if drop_existing else "append").parquet(path)
+    return seen.get["n"]
 
 
 def table_count(spark: SparkSession, path: str) -> int:

@@ -229,7 +229,7 @@ def record_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- tables -----------------------------------------------------------------------------------------
 
-_BATCH = "SELECT conv_id AS id, turn AS version, 'new ' || role AS content FROM conversations WHERE conv_id % 2 = 0"
+_BATCH = "SELECT conv_id AS id, turn AS version, 'new ' || role AS content FROM conversations"
 
 
 @query(
@@ -245,7 +245,7 @@ def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("version"), F.col("source").alias("content")
     )
     B.ingest(target, path, drop_existing=True)
-    batch = table(spark, sf, "conversations").where("conv_id % 2 = 0").select(
+    batch = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("id"), F.col("turn").alias("version"), F.concat(F.lit("new "), F.col("role")).alias("content")
     )
     B.upsert_table(spark, path, batch, "id", ["version"])

@@ -142,9 +142,12 @@ _NBEST_CTE = f"""{_FEATURES_CTE},
               [i for i in range(1, length(orig_text) + 1) if substr(orig_text, i, 1) <> ' '] AS places FROM tokenized),
   named AS MATERIALIZED (SELECT doc_id, idx, s, e, s_logit, e_logit, CASE WHEN st >= 0 AND length({_nospace('tok')}) = length({_nospace('orig_text')})
                  THEN substr(orig_text, places[k1 + 1], places[k2 + 1] - places[k1 + 1] + 1) ELSE orig_text END AS text FROM aligned),
-  firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY -(s_logit + e_logit), idx, s, e) AS r FROM named),
-  best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -(s_logit + e_logit), idx, s, e) AS rank FROM firsts WHERE r = 1)
-           WHERE rank <= 6)"""
+  empties AS (SELECT doc_id, min_by({{'s': sl[1], 'e': el[1]}}, {{'k': sl[1] + el[1], 'i': idx}}) AS x FROM logits GROUP BY doc_id),
+  offered AS MATERIALIZED (SELECT * FROM named UNION ALL SELECT doc_id, 2147483647, 2147483647, 2147483647, x.s, x.e, '' FROM empties),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY -(s_logit + e_logit), idx, s, e) AS r FROM offered),
+  best AS MATERIALIZED (SELECT * REPLACE (least(rank, 7) AS rank) FROM (
+             SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -(s_logit + e_logit), idx, s, e) AS rank FROM firsts WHERE r = 1)
+           WHERE rank <= 6 OR text = '')"""
 
 
 def answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +162,8 @@ def answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     )
     candidates = A.candidate_spans(scored, n_best=6, longest=12)
     words = examples.select("qas_id", "doc_tokens")
-    return A.n_best(candidates.join(words, "qas_id"), n=6), A.null_scores(scored)
+    nulls = A.null_scores(scored)
+    return A.n_best(candidates.join(words, "qas_id"), n=6, nulls=nulls, questions=examples), nulls
 
 
 @query(

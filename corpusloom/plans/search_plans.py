@@ -138,20 +138,21 @@ def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
 def rerank_topn(spark: SparkSession, sf: str) -> DataFrame:
     docs, queries = documents(spark, sf), asked(spark)
     hits = L.with_text(L.search_chunks(docs, queries, 10), docs)
-    both = hits.join(F.broadcast(queries.withColumnRenamed("text", "question")), "qid")
+    both = hits.join(queries.withColumnRenamed("text", "question"), "qid")
     ranked = R.rerank(both, R.overlap_score(F.col("question"), F.col("text")), 3)
     return ranked.select("qid", "chunk_id", "new_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query(
     "rerank_documents",
-    """SELECT conv_id, turn, i::INT AS idx, (CASE WHEN i >= 0 AND i < 3 THEN ws[i + 1] END) AS document
-       FROM (SELECT conv_id, turn, string_split(text, ' ')[1:3] AS ws, unnest([2, 0, 5, -1]) AS i FROM conversations)""",
+    """SELECT conv_id, turn, i::INT AS idx, (CASE WHEN i >= 0 AND i < len(ws) THEN ws[i + 1] END) AS document
+       FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws, unnest([2, 0, len(string_split(text, ' ')), -1]) AS i FROM conversations)""",
 )
 def rerank_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Answers of a reranking service name documents by index; bad indexes give no document."""
-    docs = table(spark, sf, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 3).alias("ws"))
-    items = F.array(*[F.struct(F.lit(i).alias("index"), F.lit(0.5).alias("score")) for i in (2, 0, 5, -1)])
+    docs = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("ws"))
+    indexes = (F.lit(2), F.lit(0), F.size("ws"), F.lit(-1))
+    items = F.array(*[F.struct(i.alias("index"), F.lit(0.5).alias("score")) for i in indexes])
     found = docs.select("conv_id", "turn", F.inline(R.attach_documents(items, F.col("ws"))))
     return found.select("conv_id", "turn", F.col("index").alias("idx"), "document")
 
@@ -198,11 +199,11 @@ def grep_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "alias_route",
     f"""SELECT DISTINCT c.conv_id AS qid, a.n_name AS alias, a.n_nationkey AS doc_id FROM (
-          SELECT conv_id, text || ' about NATION_' || (conv_id % 30) || ' and nation_' || (turn % 25) AS text FROM conversations WHERE role = 'user') c
+          SELECT conv_id, text || ' about NATION_' || (conv_id % 30) || ' and nation_' || (turn % 25) AS text FROM conversations) c
         JOIN nation a ON list_contains({S.words('c.text')}, lower(a.n_name))""",
 )
 def alias_route(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations").where("role = 'user'")
+    turns = table(spark, sf, "conversations")
     question = F.concat(
         F.col("text"), F.lit(" about NATION_"), (F.col("conv_id") % 30).cast("string"),
         F.lit(" and nation_"), (F.col("turn") % 25).cast("string"),

@@ -13,6 +13,7 @@ from corpusloom.operators import vocabulary as V
 from corpusloom.operators.examples import framed_tokens, non_pad_count, padded_features, padded_to_batch
 from corpusloom.plans import sqltext as S
 from corpusloom.plans.registry import query, table, texts
+from corpusloom.staging import stage
 
 
 def digest(values: Column) -> Column:
@@ -129,7 +130,7 @@ def missing_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "vocab_extend",
-    f"""WITH base AS MATERIALIZED {by_count_sql(max_size=2000)}, other AS MATERIALIZED {by_count_sql('benchmark', 'item_id')}
+    f"""WITH base AS MATERIALIZED {by_count_sql(min_freq=2)}, other AS MATERIALIZED {by_count_sql('benchmark', 'item_id')}
         SELECT token, id FROM base UNION ALL
         SELECT token, ((SELECT max(id) FROM base) + row_number() OVER (ORDER BY id))::INT AS id FROM other
         WHERE token NOT IN (SELECT token FROM base)""",
@@ -137,7 +138,7 @@ def missing_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def vocab_extend(spark: SparkSession, sf: str) -> DataFrame:
     passages = table(spark, sf, "benchmark").select(T.counter_words(F.col("text")).alias("ws"))
     other = V.build_by_count(V.token_counts(passages, "ws"))
-    return V.extend(document_vocabulary(spark, sf, max_size=2000), other)
+    return V.extend(document_vocabulary(spark, sf, min_freq=2), other)
 
 
 @query(
@@ -152,13 +153,14 @@ def label_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 _IDS_SQL = f"""(SELECT doc_id, list(coalesce(v.id, 1) ORDER BY place) AS ids FROM (
       SELECT doc_id, unnest(ws) AS token, unnest(range(0, len(ws))) AS place FROM (SELECT doc_id, {COUNTER} AS ws FROM documents))
-    LEFT JOIN {by_count_sql(max_size=5000)} v USING (token) GROUP BY doc_id)"""
+    LEFT JOIN {by_count_sql(min_freq=2)} v USING (token) GROUP BY doc_id)"""
 
 
-def encoded_documents(spark: SparkSession, sf: str) -> DataFrame:
+def encoded_documents(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Documents as ids of the whole vocabulary (words that occur once are unknown), and its size."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    tokens = T.counter_words(F.col("text"))
-    return V.lookup(docs, "doc_id", tokens, document_vocabulary(spark, sf, max_size=5000), E.UNK)
+    vocab = stage(document_vocabulary(spark, sf, min_freq=2), "document-vocabulary")
+    return V.lookup(docs, "doc_id", T.counter_words(F.col("text")), vocab, E.UNK), vocab.count()
 
 
 @query(
@@ -168,7 +170,7 @@ def encoded_documents(spark: SparkSession, sf: str) -> DataFrame:
 )
 def encode_pad(spark: SparkSession, sf: str) -> DataFrame:
     """Start and end marks around the ids, padded or cut to a fixed width."""
-    full = encoded_documents(spark, sf).select("doc_id", E.with_specials(F.col("ids")).alias("seq"))
+    full = encoded_documents(spark, sf)[0].select("doc_id", E.with_specials(F.col("ids")).alias("seq"))
     fixed = full.select("doc_id", F.size("seq").alias("origin_len"), E.pad(F.col("seq"), 128).alias("seq"))
     return fixed.select(
         "doc_id", "origin_len", digest(F.col("seq")).alias("seq_md5"), F.size("seq").alias("seq_len")

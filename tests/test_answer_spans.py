@@ -110,3 +110,26 @@ def test_no_text_at_all_gives_the_empty_answer(spark):
     nulls = spark.createDataFrame([("q", -1.0, 0.0, -1.0)], "qas_id string, score_null double, null_start_logit double, null_end_logit double")
     row = A.decide(spark.createDataFrame([], schema), nulls).first()
     assert row.prediction == "" and row.score_diff is None
+
+
+def test_null_entry_and_fallback(spark):
+    schema = (
+        "qas_id string, feature_index int, tokens array<string>, token_to_orig array<int>, doc_tokens array<string>, "
+        "start_index int, end_index int, start_logit double, end_logit double"
+    )
+    words = ["a", "b", "c"]
+    spans = [("q", 0, words, [0, 1, 2], words, i, i, x, 0.0) for i, x in enumerate((3.0, 2.0, 1.0))]
+    candidates = spark.createDataFrame(spans, schema)
+    nulls = spark.createDataFrame(
+        [("q", 2.0, 1.0, 1.0), ("r", -4.0, -2.0, -2.0)],
+        "qas_id string, score_null double, null_start_logit double, null_end_logit double",
+    )
+
+    def rows(**options):
+        return sorted((r.qas_id, r["rank"], r.text) for r in A.n_best(candidates, **options).collect())
+
+    assert rows(n=3) == [("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c")]
+    assert rows(n=3, nulls=nulls) == [("q", 1, "a"), ("q", 2, "b"), ("q", 3, ""), ("r", 1, "")]
+    assert rows(n=2, nulls=nulls) == [("q", 1, "a"), ("q", 2, "b"), ("q", 3, ""), ("r", 1, "")]
+    questions = spark.createDataFrame([("q",), ("s",)], "qas_id string")
+    assert rows(n=1, questions=questions) == [("q", 1, "a"), ("s", 1, "empty")]

@@ -148,3 +148,17 @@ def test_streamed_upserts_survive_repeats(spark, tmp_path):
         flows.to_upserts(stream, out, "id", ["v"], state).awaitTermination()
     found = {r.id: r.x for r in flows.current_rows(spark, out, "id", ["v"]).collect()}
     assert found == {1: "b", 2: "new", 3: "d"}
+
+
+def test_existing_tables_are_never_taken_for_missing(spark, tmp_path):
+    folder = tmp_path / "t"
+    folder.mkdir()
+    (folder / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception):
+        B.read_table(spark, str(folder)).count()
+    with pytest.raises(Exception):
+        B.ensure_table(spark, str(folder), "a long")
+    assert (folder / "part-0.parquet").read_text() == "not a table"
+    rows = spark.range(5).selectExpr("id AS a")
+    assert B.ingest(rows, str(tmp_path / "u")) == 5 and B.ingest(rows, str(tmp_path / "u"), drop_existing=False) == 5
+    assert B.table_count(spark, str(tmp_path / "u")) == 10 and B.table_count(spark, str(tmp_path / "none")) == 0

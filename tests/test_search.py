@@ -99,3 +99,24 @@ def test_grep_context(spark):
     docs = spark.createDataFrame([(0, "a\nfind me\nb\nc"), (1, "nothing")], "k int, t string")
     rows = R.grep(docs, "k", "t", "^find", context=1).collect()
     assert [(r.k, r.line_no, r.around) for r in rows] == [(0, 1, "a\nfind me\nb")]
+
+
+def test_both_ways_of_counting_give_equal_scores(spark, monkeypatch):
+    rows = [(1, "alpha beta"), (2, None), (3, "alpha alpha gamma"), (4, ""), (5, "gamma delta"), (5, "gamma delta"), (5, "alpha"), (6, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string")
+    queries = spark.createDataFrame([(0, "alpha gamma"), (1, "delta delta beta"), (2, None)], "qid int, text string")
+
+    def found():
+        return sorted(map(tuple, L.search_chunks(chunks, queries, 10).collect()))
+
+    in_rows = found()
+    monkeypatch.setattr(L, "ROW_TERMS", 1)
+    assert found() == in_rows
+    index = L.build_index(chunks)
+    assert sorted(map(tuple, L.search(index, queries, 10).collect())) == in_rows
+    assert tuple(index.stats.first()) == (8, (2 + 0 + 3 + 0 + 2 + 2 + 1 + 0) / 8)
+
+
+def test_grep_anchors(spark):
+    df = spark.createDataFrame([(1, "a\nfoo"), (2, "foo b"), (3, None)], "k long, text string")
+    assert [tuple(r)[:3] for r in R.grep(df, "k", "text", r"\Afoo\z").collect()] == [(1, 1, "foo")]

@@ -83,4 +83,11 @@ def test_answer_values(spark):
     assert number("(1,234.50)", "units") == "-1234.5"
     assert number("122k", "units") == "N/A"
     assert number("100", "units") == "100"
+    assert number("1.23456789", "units") == "1.23456789"
+    assert number("-1.23456789", "thousands") == "-1234.56789"
+    assert number("(0.5)", "Millions") == "-500000"
+    assert number("(-7)", "units") == "7"
+    assert number("-0.00", "units") == "0" and number("007.10", "units") == "7.1"
+    assert number("123456789012345678901234", "thousands") == "123456789012345678901234000"
+    assert number(None, "units") == "N/A"
     assert value(spark, " YES ", T.answer_boolean) == "true"
