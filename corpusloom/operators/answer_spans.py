@@ -9,8 +9,10 @@ from corpusloom.functions.columns import let
 from corpusloom.functions.encoding import best_positions
 from corpusloom.functions.numeric import softmax
 from corpusloom.functions.text import basic_tokens, detokenize, whitespace_tokens
-from corpusloom.operators.ordering import with_position
-from corpusloom.staging import stage
+from corpusloom.operators.ordering import running_totals
+from corpusloom.staging import hinted, stage
+
+BROADCAST_QUESTIONS = 1_000_000
 
 # Fixed value: white space that separates context words.
 CONTEXT_SPACE = r"[ \t\r\n\x{202F}]+"
@@ -183,9 +185,16 @@ def window_features(
     )
 
 def with_unique_ids(features: DataFrame) -> DataFrame:
-    """Number the features from 1000000000 in question and span order."""
-    numbered = with_position(stage(features, "features"), ["qas_id", "doc_span_index"], "unique_id")
-    return numbered.withColumn("unique_id", F.col("unique_id") + 999999999)
+    """Number the features from 1000000000 in question and span order.
+
+    Only the questions and their numbers of spans are ordered; a feature adds its place among the
+    spans of its question. Question ids are unique.
+    """
+    kept = stage(features, "features")
+    counts = kept.groupBy("qas_id").agg(F.count(F.lit(1)).alias("_n"))
+    starts = running_totals(counts, ["qas_id"], {"_end": "_n"}).select("qas_id", (F.col("_end") - F.col("_n")).alias("_start"))
+    joined = kept.join(hinted(stage(starts, "feature-starts"), BROADCAST_QUESTIONS), "qas_id")
+    return joined.withColumn("unique_id", F.lit(1000000000) + F.col("_start") + F.col("doc_span_index")).drop("_start")
 
 
 # -- decoding -------------------------------------------------------------------------------------

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
 from corpusloom.operators.ordering import with_position
+from corpusloom.staging import stage
 
 TABLE_BLOCK = "preamble string, table string, line_start int, line_end int"
 PAGE_JSON = (
@@ -28,7 +29,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
     A path may be one file or several, which count as one text in the order of their names.
     Splits are read in parallel; numbers come from file, split and place within the split,
-    written down once (a second scan might be split differently).
+    written down once (a second scan might be split differently). The text stays where it was
+    read: only one small row per split is ordered, and broadcast.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -36,8 +38,14 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_at"),
         "value",
     )
-    numbered = with_position(raw, ["file", "_block", "_at"], "_n")
-    return numbered.select("file", (F.col("_n") - 1).alias("line_no"), "value")
+    raw = stage(raw, "lines")
+    splits = raw.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    offsets = splits.select("file", "_block", shift.alias("_shift"))
+    return raw.join(F.broadcast(offsets), ["file", "_block"]).select(
+        "file", (F.col("_at") + F.col("_shift")).alias("line_no"), "value"
+    )
 
 
 def delimited_lines(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
