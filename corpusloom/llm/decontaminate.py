@@ -341,9 +341,29 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without an occurring window, all columns as they are.
 
-    A null identifier is matched as a value; rows that repeat an identifier leave together if one
-    of them is affected.
+    Each row is decided by its own text where it is read, one pass per block, without a join.
     """
-    affected = report(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(affected, docs["doc_id"].eqNullSafe(affected["_id"]), "left_anti")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").filter("text IS NOT NULL")
+    text = docs.columns.index("text")
+    for block in _blocks(items):
+        packed = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(_clean_batches(packed, window, text), docs.schema)
+    return docs
+
+
+def _clean_batches(packed, window: int, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        benchmark = Benchmark(packed.value, window)
+        for batch in batches:
+            begin = 0
+            while begin < batch.num_rows:
+                documents, count, at = [], 0, begin
+                while at < batch.num_rows and count < SHARD_WORDS:
+                    documents.append(words_of(batch.column(text)[at].as_py()))
+                    count += len(documents[-1])
+                    at += 1
+                _, names = mark(documents, benchmark)
+                yield batch.slice(begin, at - begin).filter(pa.array([not n for n in names], pa.bool_()))
+                begin = at
 
+    return run

@@ -99,6 +99,41 @@ SELECT doc_id,
 FROM d
 """
 
+_LOWER_AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"coalesce(regexp_extract_all({_LOWER_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents),
+  items AS (SELECT item_id::VARCHAR AS item, ws, least(len(ws), 10) AS n
+            FROM (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+  windows AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS k
+              FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM items)),
+  sizes AS (SELECT DISTINCT n FROM windows),
+  places AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k
+             FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d CROSS JOIN sizes)),
+  found AS (SELECT doc_id, i, n, item FROM places JOIN windows USING (n, k)),
+  hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+  named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+            FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+  windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k
+              FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+  later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+  kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+           FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p)
+           GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES = {
     "op1_text_density": op1_text_density,
     "op2_anchor_simhash": op2_anchor_simhash,
@@ -111,4 +146,8 @@ QUERIES = {
     "op9_streaming_dedup": op9_streaming_dedup,
     "op10_super_kmers": op10_super_kmers,
 }
-ORACLES = {"op9_streaming_dedup": OP9_SQL}
+ORACLES = {
+    "op8_suffix_decontamination": OP8_SQL,
+    "op9_streaming_dedup": OP9_SQL,
+    "op10_super_kmers": OP10_SQL,
+}
