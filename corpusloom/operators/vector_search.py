@@ -119,18 +119,25 @@ def nearest_batch(
 
 
 def hashed_embedding(text: Column, width: int = 64) -> Column:
-    """Offline stand-in for an embedding service: signed word hashing, unit length."""
+    """Offline stand-in for an embedding service: signed word hashing, unit length.
 
-    @F.pandas_udf("array<float>")
+    A word's code is the first 32 bits of its MD5 modulo twice the width; codes from the width on
+    count negatively.
+    """
+
+    @F.pandas_udf("array<double>")
     def fold(codes: pd.Series) -> pd.Series:
         def vector(code: np.ndarray) -> np.ndarray:
             counts = np.bincount(np.asarray(code, dtype=np.int64), minlength=2 * width)
             raw = (counts[:width] - counts[width:]).astype(np.float64)
-            return (raw / max(float(np.linalg.norm(raw)), 1e-12)).astype(np.float32)
+            return raw / max(float(np.linalg.norm(raw)), 1e-12)
 
         return codes.map(vector)
 
-    return fold(F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(2 * width)).cast("int")))
+    def code(word: Column) -> Column:
+        return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % (2 * width)).cast("int")
+
+    return fold(F.coalesce(F.transform(words(text), code), F.array().cast("array<int>")))
 
 
 def embed_batches(df: DataFrame, text: str, embed, batch: int = 16, attempts: int = 3, pause: float = 1.0) -> DataFrame:

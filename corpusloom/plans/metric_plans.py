@@ -204,17 +204,17 @@ def layer_norm(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "label_smoothing",
     """SELECT vec_id, round(list_sum(t), 6) AS mass, round(t[label + 1], 6) AS at_label,
-         round(list_sum([CASE WHEN t[i] > 0 THEN t[i] * (ln(t[i]) - (e[i] - list_max(e) - ln(list_sum([exp(y - list_max(e)) for y in e])))) ELSE 0 END for i in range(1, 11)]), 6) AS divergence
-       FROM (SELECT vec_id, label, (embedding::DOUBLE[])[1:10] AS e, [CASE WHEN label = 0 OR i = 0 THEN 0 WHEN i = label THEN 0.9::DOUBLE ELSE 0.1::DOUBLE / 8 END for i in range(0, 10)] AS t
+         round(list_sum([CASE WHEN t[i] > 0 THEN t[i] * (ln(t[i]) - (e[i] - list_max(e) - ln(list_sum([exp(y - list_max(e)) for y in e])))) ELSE 0 END for i in range(1, 65)]), 6) AS divergence
+       FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, [CASE WHEN label = 0 OR i = 0 THEN 0 WHEN i = label THEN 0.9::DOUBLE ELSE 0.1::DOUBLE / 62 END for i in range(0, 64)] AS t
              FROM embeddings)""",
 )
 def label_smoothing(spark: SparkSession, sf: str) -> DataFrame:
-    """Smoothed targets over ten classes (class 0 is padding) and their divergence."""
+    """Smoothed targets over all classes (class 0 is padding) and their divergence."""
     rows = table(spark, sf, "embeddings").select(
         "vec_id",
         "label",
-        F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("e"),
-        N.smoothed_labels(F.col("label"), 10, 0.1).alias("t"),
+        F.col("embedding").cast("array<double>").alias("e"),
+        N.smoothed_labels(F.col("label"), 64, 0.1).alias("t"),
     )
     return rows.select(
         "vec_id",

@@ -305,7 +305,17 @@ def cosine_batch(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("embed_documents")
+@query(
+    "embed_documents",
+    f"""WITH codes AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 128 AS c
+          FROM (SELECT doc_id, unnest({S.words('text')}) AS w FROM documents)),
+          cells AS (SELECT doc_id, c % 64 AS j, sum(CASE WHEN c < 64 THEN 1 ELSE -1 END)::DOUBLE AS x FROM codes GROUP BY ALL),
+          norms AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM cells GROUP BY doc_id),
+          dots AS (SELECT a.doc_id, sum(a.x * b.x) AS d FROM cells a JOIN cells b ON b.doc_id = 0 AND a.j = b.j GROUP BY a.doc_id)
+        SELECT doc_id, round(s, 6) AS score FROM (
+          SELECT doc_id, d / (n * (SELECT n FROM norms WHERE doc_id = 0)) AS s FROM dots JOIN norms USING (doc_id) WHERE n > 0)
+        ORDER BY round(s, 9) DESC, doc_id LIMIT 10""",
+)
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Hashed vectors of the documents and the nearest ones to the first document."""
     docs = texts(spark, sf, "documents").select("doc_id", V.hashed_embedding(F.col("text")).alias("embedding"))
