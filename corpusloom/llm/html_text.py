@@ -67,8 +67,12 @@ NAMES = _words(
     "cookie cookies consent gdpr notice notices notification banner alert disclaimer paywall popup modal overlay "
     "comment comments commentlist respond reply replies discussion disqus form search hidden"
 )
+#: Of these, the ones that tell it wherever they stand in a name; others must begin or end it.
+ANYWHERE = _words("ad ads advert adverts advertisement advertising sponsored sidebar cookie cookies comments newsletter disqus")
 #: A name with one of these words tells how a container looks, not what it is.
-LAYOUT = _words("has with no without open enabled layout wrapper container page site content main article post entry body")
+LOOKS = _words("has with no without open enabled layout")
+#: The header of one of these is the article's own.
+OWN_HEADER = _words("article post entry story content")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(
@@ -161,30 +165,36 @@ class Page:
                     return
 
 
+def _named_foreign(name: str, in_article: bool) -> bool:
+    """Whether a class or an id names what is not part of an article."""
+    parts = [p for p in re.split(r"[^a-z]+", _CAMEL.sub("-", name).lower()) if p]
+    if not parts or LOOKS.intersection(parts):
+        return False
+    if ANYWHERE.intersection(parts):
+        return True
+    if parts[-1] in ("header", "banner") and (in_article or parts[0] in OWN_HEADER):
+        return False
+    return parts[0] in NAMES or parts[-1] in NAMES
+
+
 def _foreign(tag: str, attributes: str, in_article: bool, holds_article: bool) -> bool:
-    """Whether an element is not part of an article."""
+    """Whether an element is not part of an article. One that holds the article is never foreign
+    by its names."""
     if tag in NEVER or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main", "a") and "comment" not in attributes.lower():
+    if not attributes or tag in ("html", "body", "main", "a"):
         return False
     for found in _ATTRIBUTE.finditer(attributes):
         name = found[1].lower()
         value = next((v for v in found.groups()[1:] if v is not None), "")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true" and not holds_article):
+        if name == "hidden" or (name == "style" and _HIDING.search(value)):
+            return True
+        if holds_article:
+            continue
+        if name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             return True
-        if name == "style" and _HIDING.search(value):
+        if name in ("class", "id") and any(_named_foreign(one, in_article) for one in value.split()):
             return True
-        if name == "role" and value.lower() in ROLES:
-            return not holds_article
-        if name in ("class", "id") and not holds_article and tag not in ("html", "body"):
-            for one in value.split():
-                parts = [p for p in re.split(r"[^a-z]+", _CAMEL.sub("-", one).lower()) if p]
-                if NAMES.intersection(parts) and not LAYOUT.intersection(parts):
-                    return True
-                if parts and parts[-1] in NAMES and not in_article and not {"has", "with", "no", "without"}.intersection(parts):
-                    return True
-                if parts and parts[-1] in ("comments", "ad", "ads", "advert", "sidebar", "share", "related"):
-                    return not {"has", "with", "no", "without"}.intersection(parts)
     return False
 
 

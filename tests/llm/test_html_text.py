@@ -35,6 +35,18 @@ CASES = [
         "<body><nav><a href=1>x</a></nav><p>First of the paragraphs in the body.</p><p>Second one.</p></body>",
         "First of the paragraphs in the body.\nSecond one.",
     ),
+    (
+        "<div class='page has-sidebar'><div class=sidebar-content>no</div><div class='wrapper'><div class='article-header'>"
+        "<h1>T</h1></div><p>The body of the article is here.</p><p>And it goes on here.</p></div>"
+        "<div class='comments-container'><p>no no no no no no no no no no no no no no</p></div></div>",
+        "T\nThe body of the article is here.\nAnd it goes on here.",
+    ),
+    (
+        "<article class='post comments-open'><div class=entry-header><h1>T</h1></div><p>x</p><div class=related-posts>no</div>"
+        "<article class=comment>no</article><div id=td-ad-slot>no</div><div class=cookieBanner>no</div></article>",
+        "T\nx",
+    ),
+    ("<article><p>t</p><p hidden>no</p><p style='display: none'>no</p><div role=alert>no</div></article>", "t"),
 ]
 
 
