@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
-from corpusloom.staging import stage
 
 # Fixed value: fields every flat chunk must have.
 REQUIRED_FIELDS = ("char_count", "content", "doc_id", "label", "page", "source", "token_count")
@@ -65,12 +64,38 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, version: list[str]) ->
     return last_wins(tagged, key, ["_fresh", *version]).drop("_fresh")
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder, sorted; none if it does not exist."""
+    place, files = _files(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place, files = _files(spark, path)
+    files.delete(place, True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions that upserts have written, oldest first."""
+    folders = [f"{path}/_versions/{name}" for name in names_in(spark, f"{path}/_versions")]
+    return [f for f in folders if "_SUCCESS" in names_in(spark, f)]
+
+
+def current_folder(spark: SparkSession, path: str) -> str:
+    """Where the rows of the table are: its last complete version, or the folder itself."""
+    return (_versions(spark, path) or [path])[-1]
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, or None if nothing is there. A folder that cannot be read fails."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if files.exists(place) else None
+    place, files = _files(spark, path)
+    return spark.read.parquet(current_folder(spark, path)) if files.exists(place) else None
 
 
 def ensure_table(spark: SparkSession, path: str, schema: str, drop: bool = False) -> None:
@@ -82,18 +107,36 @@ def ensure_table(spark: SparkSession, path: str, schema: str, drop: bool = False
 
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: str, version: list[str]) -> None:
-    """Upsert into a stored table. The merged rows are written to the shared folder first, so the
-    old content is only replaced once they are complete."""
+    """Upsert into a stored table.
+
+    The merged rows become a new numbered version beside the old ones and count from the moment
+    they are complete: readers see the old table or the new one, and a failed write changes
+    nothing. Two writers at once cannot take the same number; the second fails.
+    """
     current = read_table(spark, path)
     merged = last_wins(batch, key, version) if current is None else upsert(current, batch, key, version)
-    stage(merged, "upsert").write.mode("overwrite").parquet(path)
+    done = _versions(spark, path)
+    number = int(done[-1].rsplit("-", 1)[1]) + 1 if done else 1
+    target = f"{path}/_versions/v-{number:09d}"
+    if target.rsplit("/", 1)[1] in names_in(spark, f"{path}/_versions"):
+        delete_folder(spark, target)  # left by a write that failed
+    merged.write.mode("errorifexists").parquet(target)
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> None:
+    """Delete all versions but the current one; call it when no reader uses them any more."""
+    for folder in _versions(spark, path)[:-1]:
+        delete_folder(spark, folder)
 
 
 def ingest(rows: DataFrame, path: str, drop_existing: bool = True) -> int:
     """Write rows, replacing or appending; returns how many were written, counted on the way."""
     seen = Observation("ingest")
     watched = rows.observe(seen, F.count(F.lit(1)).alias("n"))
-    watched.write.mode("overwrite" if drop_existing else "append").parquet(path)
+    if drop_existing:
+        watched.write.mode("overwrite").parquet(path)
+    else:
+        watched.write.mode("append").parquet(current_folder(rows.sparkSession, path))
     return seen.get["n"]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.operators.tables import last_wins
+from corpusloom.operators.tables import delete_folder, last_wins, names_in, read_table, upsert_table
 from corpusloom.staging import fresh_path
 
 Step = Callable[[DataFrame], DataFrame]
@@ -36,7 +36,7 @@ def to_upserts(stream: DataFrame, path: str, key: str, version: list[str], check
 
     A batch keeps its newest row per key and goes to a folder of its own, named by its number;
     a repeated batch replaces its folder, so restarts are safe. ``current_rows`` resolves the
-    folders, ``tables.upsert_table`` merges them into one table from time to time.
+    folders; ``compact``, called from time to time, merges them into a table.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -49,10 +49,36 @@ def to_upserts(stream: DataFrame, path: str, key: str, version: list[str], check
     return writer.start()
 
 
-def current_rows(spark: SparkSession, path: str, key: str, version: list[str]) -> DataFrame:
-    """The newest row of every key: of the latest batch, then of the highest version."""
-    rows = spark.read.parquet(path)
-    return last_wins(rows, key, ["batch_no", *version]).drop("batch_no")
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    return [f"{path}/{name}" for name in names_in(spark, path) if name.startswith("batch_no=")]
+
+
+def current_rows(
+    spark: SparkSession, path: str, key: str, version: list[str], table: str | None = None
+) -> DataFrame:
+    """The newest row of every key: of the latest batch, then of the highest version. ``table``
+    is where ``compact`` puts the batches it merges."""
+    stored = None if table is None else read_table(spark, table)
+    folders = _batches(spark, path)
+    rows = spark.read.option("basePath", path).parquet(*folders) if folders or stored is None else None
+    if rows is not None and stored is not None:
+        rows = rows.unionByName(stored)
+    return last_wins(stored if rows is None else rows, key, ["batch_no", *version]).drop("batch_no")
+
+
+def compact(spark: SparkSession, path: str, table: str, key: str, version: list[str]) -> int:
+    """Merge the batch folders present into ``table`` and delete them; returns their number.
+
+    Call it while no stream writes to ``path``. If it stops half-way the folders stay and are
+    merged again, which changes nothing.
+    """
+    folders = _batches(spark, path)
+    if folders:
+        rows = spark.read.option("basePath", path).parquet(*folders)
+        upsert_table(spark, table, rows, key, ["batch_no", *version])
+        for folder in folders:
+            delete_folder(spark, folder)
+    return len(folders)
 
 
 def replay(spark: SparkSession, folder: str, schema, step: Step, glob: str = "*.parquet") -> DataFrame:

@@ -148,6 +148,33 @@ def test_streamed_upserts_survive_repeats(spark, tmp_path):
         flows.to_upserts(stream, out, "id", ["v"], state).awaitTermination()
     found = {r.id: r.x for r in flows.current_rows(spark, out, "id", ["v"]).collect()}
     assert found == {1: "b", 2: "new", 3: "d"}
+    merged = str(tmp_path / "merged")
+    assert flows.compact(spark, out, merged, "id", ["v"]) == 2 and flows.compact(spark, out, merged, "id", ["v"]) == 0
+    assert {r.id: r.x for r in flows.current_rows(spark, out, "id", ["v"], merged).collect()} == found
+    spark.createDataFrame([(1, 0, "later"), (4, 1, "e")], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = flows.file_stream(spark, source, schema)
+    flows.to_upserts(stream, out, "id", ["v"], state).awaitTermination()
+    want = {**found, 1: "later", 4: "e"}
+    assert {r.id: r.x for r in flows.current_rows(spark, out, "id", ["v"], merged).collect()} == want
+    assert flows.compact(spark, out, merged, "id", ["v"]) == 1
+    assert {r.id: r.x for r in flows.current_rows(spark, out, "id", ["v"], merged).collect()} == want
+
+
+def test_upserts_are_versions(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id int, v int, x string"
+    B.ingest(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema), path)
+    before = B.read_table(spark, path)
+    B.upsert_table(spark, path, spark.createDataFrame([(2, 2, "c")], schema), "id", ["v"])
+    assert {r.id: r.x for r in before.collect()} == {1: "a", 2: "b"}  # a reader keeps its version
+    B.upsert_table(spark, path, spark.createDataFrame([(3, 1, "d")], schema), "id", ["v"])
+    (tmp_path / "t" / "_versions" / "v-000000003").mkdir()  # a write that failed
+    assert {r.id: r.x for r in B.read_table(spark, path).collect()} == {1: "a", 2: "c", 3: "d"}
+    B.upsert_table(spark, path, spark.createDataFrame([(3, 2, "e")], schema), "id", ["v"])
+    B.drop_old_versions(spark, path)
+    assert B.ingest(spark.createDataFrame([(9, 1, "z")], schema), path, drop_existing=False) == 1
+    assert {r.id: r.x for r in B.read_table(spark, path).collect()} == {1: "a", 2: "c", 3: "e", 9: "z"}
+    B.ingest(spark.createDataFrame([(5, 1, "only")], schema), path)
+    assert [r.x for r in B.read_table(spark, path).collect()] == ["only"]
 
 
 def test_existing_tables_are_never_taken_for_missing(spark, tmp_path):
