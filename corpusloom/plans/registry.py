@@ -29,11 +29,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of long texts, spread over all cores if its files are fewer than those.
+    """A table of long texts, read where it lies.
 
-    Work per row is large and a small file is one task; a large collection has more splits than
-    cores and is left where it is.
+    Only where the session asks for it (``spark.corpusloom.spread``, set by ``local_session`` for
+    tests and benchmarks on small single files) it is spread over all cores if its files are fewer.
     """
     df = table(spark, folder, name)
+    if spark.conf.get("spark.corpusloom.spread", "false") != "true":
+        return df
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

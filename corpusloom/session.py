@@ -20,6 +20,7 @@ def local_session(app: str = "corpusloom", cores: int | str = "*", **overrides:
         **DEFAULTS,
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "12g",
+        "spark.corpusloom.spread": "true",
         **overrides,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
