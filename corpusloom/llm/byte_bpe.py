@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 LONG = 256
 #: Distinct pieces a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import stage, union
 
 WINDOW = 10
-#: Words per shard: about 100 MB of working memory.
-SHARD_WORDS = 1_000_000
+#: Words per shard: about 50 MB of working memory.
+SHARD_WORDS = 500_000
 #: Characters of benchmark text that are broadcast at once.
 BLOCK_CHARS = 8_000_000
 #: Words of a suffix that the sort compares; longer matches are extended word by word.
