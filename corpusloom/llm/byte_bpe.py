@@ -20,6 +20,7 @@ kept by ``encode`` and ``decode`` unless named like the result columns, which re
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -215,12 +216,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(shared, pattern: str) -> Encoder:
-    """One per vocabulary and worker process, so that pieces are remembered between tasks."""
-    key = shared.id if hasattr(shared, "id") else hash(str(shared))
+def _encoder(shared, pattern: str, key: str) -> Encoder:
+    """One per vocabulary and worker process, so that pieces are remembered between tasks. The
+    key is a digest of the vocabulary and the pattern."""
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(shared.value, pattern)
@@ -231,16 +232,18 @@ class Tokenizer:
     """``encode`` and ``decode`` of DataFrames with the vocabulary file at ``path``."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.shared = spark.sparkContext.broadcast(read_ranks(path))
+        ranks = read_ranks(path)
+        self.shared = spark.sparkContext.broadcast(ranks)
         self.pattern = pattern
+        self.key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
 
     def encode(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
         """``docs`` with n_tokens and ids (packed little-endian, four bytes each)."""
-        shared, pattern = self.shared, self.pattern
+        shared, pattern, key = self.shared, self.pattern, self.key
         others = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "ids")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder = _encoder(shared, pattern)
+            encoder = _encoder(shared, pattern, key)
             for whole in batches:
                 for begin in range(0, whole.num_rows, 500):
                     batch = whole.slice(begin, 500)
@@ -255,11 +258,11 @@ class Tokenizer:
 
     def decode(self, encoded: DataFrame, ids: str = "ids") -> DataFrame:
         """``encoded`` with ``decoded``, the bytes that the ids stand for."""
-        shared, pattern = self.shared, self.pattern
+        shared, pattern, key = self.shared, self.pattern, self.key
         others = [c for c in encoded.columns if c != "decoded"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder = _encoder(shared, pattern)
+            encoder = _encoder(shared, pattern, key)
             for whole in batches:
                 for begin in range(0, whole.num_rows, 500):
                     batch = whole.slice(begin, 500)

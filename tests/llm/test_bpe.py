@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 
@@ -71,3 +72,12 @@ def test_odd_rows(spark, odd, odd_pairs):
             np.array(WANTED.encode_ordinary(row.text or ""), dtype="<u4").tobytes()
         ).digest()
     assert tokenizer.decode(tokenizer.encode(odd.limit(0))).count() == 0
+
+
+def test_two_vocabularies_in_one_worker(spark, documents, tmp_path):
+    path = tmp_path / "bytes.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b}\n" for b in range(256)))
+    small = byte_bpe.Tokenizer(spark, str(path), public_tokenizers.PATTERN)
+    both = small.encode(documents.limit(20)).selectExpr("doc_id", "text", "n_tokens AS n_bytes")
+    for row in bpe_tokenizer(spark).encode(both).collect():
+        assert row.n_bytes == len(row.text.encode()) and row.n_tokens == len(WANTED.encode_ordinary(row.text))
