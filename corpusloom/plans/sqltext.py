@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from corpusloom.functions.text import (
-    CJK, KEEP, KEEP_FULL_WIDTH, PAGE_CONTROL, PUNCT, RULE_LINE, SPACE, SPACE_SEPARATORS, WORD,
+# Fixed values, spelled out here so that the SQL does not depend on the code it checks.
+SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORD = r"[\p{L}\p{N}_]+"
+PUNCT = r"\p{P}$+<=>^`|~"
+SPACE_SEPARATORS = r"[\t\n\r\p{Zs}]"
+PAGE_CONTROL = r"[\x00-\x08\x0b-\x1f\x7f]"
+RULE_LINE = r"[-_.=]{4,}"
+KEEP = (
+    r"A-Za-z0-9\t-\r\x1c-\x20.,;:!?()%$+\-*/=<>@#&'" + '"' + r"\x{4e00}-\x{9fff}"
+    r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+KEEP_FULL_WIDTH = KEEP + "，。；：！？（）￥"
+CJK = (
+    r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
+    r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
+)
+SENTENCE_PAIR_SPECIALS = ('<pad>', '<unk>', '<eos>', '<sos>', '<mask>')
+TRANSLATION_SPECIALS = ('<pad>', '<sos>', '<eos>', '<unk>')
+REVIEW_SPECIALS = ('PAD', 'UNK')
+CHAR_ALPHABET = 'abcdefghijklmnopqrstuvwxyz0123456789-,;.!?:\'"/\\|_@#$%^&*~`+-=<>()[]{}'
 
 
 def lit(text: str) -> str:

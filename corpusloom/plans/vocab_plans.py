@@ -42,9 +42,9 @@ def specials_sql(specials) -> str:
 
 def by_count_sql(source: str = "documents", key: str = "doc_id", min_freq: int = 1, max_size: int | None = None) -> str:
     cap = "" if max_size is None else f" WHERE id < {max_size + 5}"
-    names = ", ".join(S.lit(t) for t in V.SENTENCE_PAIR_SPECIALS)
+    names = ", ".join(S.lit(t) for t in S.SENTENCE_PAIR_SPECIALS)
     return f"""(SELECT token, id::INT AS id FROM (
-      SELECT token, id FROM {specials_sql(V.SENTENCE_PAIR_SPECIALS)} UNION ALL
+      SELECT token, id FROM {specials_sql(S.SENTENCE_PAIR_SPECIALS)} UNION ALL
       SELECT token, 4 + row_number() OVER (ORDER BY n DESC, token) FROM {counts_sql(COUNTER, source, key)}
       WHERE n >= {min_freq} AND token NOT IN ({names})){cap})"""
 
@@ -75,7 +75,7 @@ def vocab_max_size(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "vocab_first_seen",
-    f"""SELECT token, id::INT AS id FROM (SELECT token, id FROM {specials_sql(V.TRANSLATION_SPECIALS)} UNION ALL
+    f"""SELECT token, id::INT AS id FROM (SELECT token, id FROM {specials_sql(S.TRANSLATION_SPECIALS)} UNION ALL
         SELECT token, 3 + row_number() OVER (ORDER BY first) FROM {counts_sql(SIMPLE)} WHERE n >= 2)""",
 )
 def vocab_first_seen(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +94,7 @@ def passage_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stopword_vocab",
-    f"""SELECT token, id::INT AS id FROM (SELECT token, id FROM {specials_sql(V.REVIEW_SPECIALS)} UNION ALL
+    f"""SELECT token, id::INT AS id FROM (SELECT token, id FROM {specials_sql(S.REVIEW_SPECIALS)} UNION ALL
         SELECT token, 1 + row_number() OVER (ORDER BY n DESC, first) FROM {counts_sql(_WS)}
         WHERE n >= 5 AND token NOT IN (SELECT token FROM {_STOP_SQL}))""",
 )
@@ -106,7 +106,7 @@ def stopword_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "vector_vocab",
-    f"""SELECT token, id::INT AS id FROM (SELECT token, id FROM {specials_sql(V.REVIEW_SPECIALS)} UNION ALL
+    f"""SELECT token, id::INT AS id FROM (SELECT token, id FROM {specials_sql(S.REVIEW_SPECIALS)} UNION ALL
         SELECT token, 1 + row_number() OVER (ORDER BY n DESC, first) FROM {counts_sql(_WS)}
         WHERE n >= 5 AND token NOT IN (SELECT token FROM {_STOP_SQL}) AND token IN (SELECT token FROM {_LONG_SQL}))""",
 )
@@ -263,8 +263,8 @@ def char_codes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row_id", F.size("ws").cast("bigint").alias("n_words"), digest(codes).alias("codes_md5"))
 
 
-_ALPHABET = S.lit("".join(dict.fromkeys(E.CHAR_ALPHABET)))
-_PLACES = "[" + ", ".join(str(i) for i in {c: i for i, c in enumerate(E.CHAR_ALPHABET, start=2)}.values()) + "]"
+_ALPHABET = S.lit("".join(dict.fromkeys(S.CHAR_ALPHABET)))
+_PLACES = "[" + ", ".join(str(i) for i in {c: i for i, c in enumerate(S.CHAR_ALPHABET, start=2)}.values()) + "]"
 _CHAR_IDS = f"""list_resize([coalesce({_PLACES}[nullif(instr({_ALPHABET}, c), 0)], 1)
     for c in [c for c in regexp_extract_all(text, '(?s).') if c <> ' '][1:1014]], 1014, 0)"""
 
