@@ -24,6 +24,7 @@ their text; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,29 +126,17 @@ class Cut:
 
 #: Bytes of text that are cut at once; a longer text goes in pieces that overlap by a window.
 PIECE = 1 << 20
+_GAP = re.compile(rb"[\t-\r ]")
 
 
 def cut_pieces(keys: list, texts: list[bytes | None], window: int, m: int) -> Iterator[tuple[list, np.ndarray, Cut]]:
     """(keys, number of the first word, cut) of texts by PIECE bytes, in order."""
     some, names, size = [], [], 0
     for key, text in zip(keys, texts):
-        offset = 0
-        while text is not None and len(text) > PIECE:
-            at = PIECE
-            while at < len(text) and not _SPACE[text[at]]:
-                at += 1
-            cut = Cut([text[:at]], window, m)
-            yield [key], np.array([offset]), cut
-            kept = min(cut.words, window - 1)
-            offset += cut.words - kept
-            rest = text[at:]
-            text = (cut.joined[cut.start[cut.words - kept] :] if kept else b"") + rest
-            if not rest:
-                text = None
-        if text:
-            if offset:
-                yield [key], np.array([offset]), Cut([text], window, m)
-                continue
+        if text is not None and len(text) > PIECE:
+            for offset, cut in _pieces(text, window, m):
+                yield [key], np.array([offset]), cut
+        elif text:
             some.append(text)
             names.append(key)
             size += len(text)
@@ -158,6 +147,22 @@ def cut_pieces(keys: list, texts: list[bytes | None], window: int, m: int) -> It
         yield names, np.zeros(len(some), dtype=np.int64), Cut(some, window, m)
 
 
+def _pieces(text: bytes, window: int, m: int) -> Iterator[tuple[int, Cut]]:
+    """(number of the first word, cut) of the pieces of one text. Each takes whole words that no
+    piece before had, at least as many bytes as the words it repeats: every text comes to its end,
+    in time linear in its length."""
+    carried, offset, at = b"", 0, 0
+    while at < len(text):
+        gap = _GAP.search(text, at + max(PIECE, len(carried)))
+        end = gap.start() if gap else len(text)
+        cut = Cut([carried + text[at:end]], window, m)
+        yield offset, cut
+        kept = min(cut.words, window - 1)
+        carried = cut.joined[cut.start[cut.words - kept] :] if kept else b""
+        offset += cut.words - kept
+        at = end
+
+
 def _minimisers(window: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,7 +370,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:
     """Spans of words [begin, end) covered by windows that occur earlier: doc, version, begin, end.
-    Spans of one document may overlap."""
+    Spans of one document may overlap; rows that are one document repeat theirs."""
     spark = docs.sparkSession
     counts = docs.select(F.encode("text", "utf-8")).mapInArrow(_minimisers(window, m), "h long, n long")
     counts = counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
@@ -426,6 +431,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that stay joined by one space, per row."""
     spans = repeated_spans(docs, window, m)
-    per_document = spans.groupBy("doc", "version").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    per_document = spans.groupBy("doc", "version").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     joined = _keyed(docs).join(per_document, ["doc", "version"], "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")

@@ -54,6 +54,44 @@ def test_pieces_of_texts_give_the_same_windows(monkeypatch, piece):
     assert windows() == whole
 
 
+@pytest.mark.parametrize("piece", [16, 64])
+def test_long_words_before_more_text_come_to_an_end(monkeypatch, piece):
+    monkeypatch.setattr(S, "PIECE", piece)
+    few = [b"y" * 30] * 6  # fewer words than a window fill a piece
+    texts = [b"x" * 500 + b" a b", b" ".join([*few, b"a b c"]), b" ".join(few * 5), b" " * 300 + b"a" * 90 + b"\n b " * 40]
+    for text in texts:
+        got, bound = [], 2 * len(text) // piece + 2
+        for _, offset, cut in S.cut_pieces([0], [text], 7, 3):
+            bound -= 1
+            assert bound, "more pieces than the text has"
+            for f, n, c in zip(cut.first, cut.number, cut.count):
+                got += [(int(n + i + offset[0]), cut.joined[cut.start[f + i] : cut.end[f + i + 6]]) for i in range(c)]
+        words = text.split()
+        assert got == [(i, b" ".join(words[i : i + 7])) for i in range(len(words) - 6)]
+
+
+def test_long_word_in_a_query(spark):
+    long = "x" * (S.PIECE + 9) + " a b c d e"
+    docs = [(1, long), (2, "y " + long), (3, "a b c d e")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(frame, window=5, m=2) == sorted(plain.removed_words(docs, 5), key=str)
+
+
+def test_copies_of_a_row_do_not_multiply_its_spans(monkeypatch, spark):
+    monkeypatch.setattr(S, "_kept", lambda batches, run=S._kept: run(_noted(batches)))
+
+    def _noted(batches):
+        for batch in batches:
+            for row in batch.column(2).to_pylist():
+                assert row is None or len({(r["begin"], r["end"]) for r in row}) == len(row)
+            yield batch
+
+    docs = [(1, "a b c d e f"), *[(2, "z a b c d e f")] * 8]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    first, second = plain.removed_words(docs, 5)
+    assert found(frame, window=5, m=2) == [first, *[second] * 8]
+
+
 def test_equal_hashes_of_different_windows(monkeypatch):
     # Hashes of one byte: almost all windows collide, the bytes decide.
     power = S._power
