@@ -2,7 +2,10 @@
 
 A page becomes a tree. What is never part of an article goes first: scripts, styles, forms, menus,
 page headers, footers, sidebars, adverts, notices and reader comments, by element, role, or the
-words of class and id. On what is left every node gets its composite density, the characters per
+words of class and id. Ids made from heading texts are no such names: those of headings and of what
+is in them are not looked at, and those of sections and of all that is inside an article or main
+part only for words that tell it anywhere. A form that holds the article, the main part or, where
+the page marks neither, most of its text is the frame of the page and stays. On what is left every node gets its composite density, the characters per
 tag adjusted by how many of them are links; nodes are ranked by the sum of the densities of their
 children. The subtree of the largest sum is the article's core; the smallest density on its path
 to the body is the threshold that neighbours of that path must reach to belong to it as well. If
@@ -51,7 +54,7 @@ ENDS = {
     "option": (_words("option"), _words("select")),
 }
 NEVER = _words(
-    "script style noscript template nav footer aside form iframe object embed svg canvas math audio video button "
+    "script style noscript template nav footer aside form iframe object embed svg canvas annotation annotation-xml audio video button "
     "select option textarea input datalist dialog menu head title map noframes noembed xmp"
 )
 ROLES = _words(
@@ -165,22 +168,24 @@ class Page:
                     return
 
 
-def _named_foreign(name: str, in_article: bool) -> bool:
+def _named_foreign(name: str, in_article: bool, anywhere_only: bool = False) -> bool:
     """Whether a class or an id names what is not part of an article."""
     parts = [p for p in re.split(r"[^a-z]+", _CAMEL.sub("-", name).lower()) if p]
     if not parts or LOOKS.intersection(parts):
         return False
     if ANYWHERE.intersection(parts):
         return True
+    if anywhere_only:
+        return False
     if parts[-1] in ("header", "banner") and (in_article or parts[0] in OWN_HEADER):
         return False
     return parts[0] in NAMES or parts[-1] in NAMES
 
 
-def _foreign(tag: str, attributes: str, in_article: bool, holds_article: bool) -> bool:
+def _foreign(tag: str, attributes: str, in_article: bool, in_part: bool, in_heading: bool, holds_article: bool) -> bool:
     """Whether an element is not part of an article. One that holds the article is never foreign
-    by its names."""
-    if tag in NEVER or (tag == "header" and not in_article):
+    by its names. ``in_part``: inside of an article or main part."""
+    if tag in NEVER and not (tag == "form" and holds_article) or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "main", "a"):
         return False
@@ -193,11 +198,35 @@ def _foreign(tag: str, attributes: str, in_article: bool, holds_article: bool) -
             continue
         if name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and any(_named_foreign(one, in_article) for one in value.split()):
+        if name == "class" and any(_named_foreign(one, in_article) for one in value.split()):
             return True
+        if name == "id" and not in_heading:
+            titled = in_part or tag == "section"
+            if any(_named_foreign(one, in_article, titled) for one in value.split()):
+                return True
     return False
 
 
+def _frames(page: Page) -> list[int]:
+    """Forms that hold over half of the text of a page, and what these lie in."""
+    count = len(page.tags)
+    size, read = [0] * count, [True] * count
+    for node in range(1, count):
+        read[node] = read[page.parents[node]] and (page.tags[node] == "form" or page.tags[node] not in NEVER)
+    for node, text in page.events:
+        if text is not None and read[node]:
+            size[node] += len("".join(text.split()))
+    for node in range(count - 1, 0, -1):
+        size[page.parents[node]] += size[node]
+    frames = set()
+    for node in range(1, count):
+        if page.tags[node] == "form" and 2 * size[node] > size[0]:
+            while node > 0 and node not in frames:
+                frames.add(node)
+                node = page.parents[node]
+    return sorted(frames)
+
+
 def main_text(source: str | None) -> str:
     if not source:
         return ""
@@ -208,12 +237,21 @@ def main_text(source: str | None) -> str:
     for node in range(count - 1, 0, -1):
         if holds[node] or tags[node] in ("article", "main"):
             holds[parents[node]] = True
+    if "form" in tags and not holds[0]:
+        for node in _frames(page):
+            holds[node] = True
     inside = [False] * count  # of an article
+    part = [False] * count  # inside of an article or main part
+    heading = [False] * count  # a heading or inside of one
     keep = [True] * count
     for node in range(1, count):
-        parent = parents[node]
-        inside[node] = inside[parent] or tags[node] == "article"
-        keep[node] = keep[parent] and not _foreign(tags[node], page.attributes[node], inside[parent], holds[node])
+        parent, tag = parents[node], tags[node]
+        inside[node] = inside[parent] or tag == "article"
+        part[node] = part[parent] or tag in ("article", "main")
+        heading[node] = heading[parent] or tag in HEADINGS
+        keep[node] = keep[parent] and not _foreign(
+            tag, page.attributes[node], inside[parent], part[parent], heading[node], holds[node]
+        )
 
     chars, links = [0] * count, [0] * count
     linked = [False] * count
@@ -231,7 +269,7 @@ def main_text(source: str | None) -> str:
             parent = parents[node]
             chars[parent] += chars[node]
             links[parent] += links[node]
-            tag_count[parent] += tag_count[node] + 1
+            tag_count[parent] += 1 if tags[node] == "math" else tag_count[node] + 1  # a formula is one tag
             link_count[parent] += link_count[node] + (tags[node] == "a")
     if not chars[0]:
         return ""

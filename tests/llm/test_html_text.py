@@ -47,6 +47,32 @@ CASES = [
         "T\nx",
     ),
     ("<article><p>t</p><p hidden>no</p><p style='display: none'>no</p><div role=alert>no</div></article>", "t"),
+    (
+        "<article><h2 id='related-work'>A</h2><p>a</p><h2><span id='Popular_culture'>B</span></h2><p>b</p>"
+        "<section id='discussion'><h2 id='search-algorithms'>C</h2><p>c</p></section>"
+        "<div id='hidden-markov-models'><p>d</p></div><div id=comments>no</div></article>",
+        "A\na\nB\nb\nC\nc\nd",
+    ),
+    (
+        "<main><h2 id=copyright>A</h2><p>para one is long enough</p>"
+        "<section id=discussion><h2>B</h2><p>para two is long enough too</p></section></main>",
+        "A\npara one is long enough\nB\npara two is long enough too",
+    ),
+    ("<body><form id=form1 class=search-form><article><p>x</p><form>no</form></article></form></body>", "x"),
+    (
+        "<body><form id=aspnetForm><input name=state><nav>no</nav><div><h1>T</h1><p>First of the paragraphs in the body.</p>"
+        "<p>Second one of them.</p></div><select><option>no</select></form><footer>no</footer></body>",
+        "T\nFirst of the paragraphs in the body.\nSecond one of them.",
+    ),
+    (
+        "<body><p>First of the paragraphs in the body.</p><form>no</form><p>Second one.</p></body>",
+        "First of the paragraphs in the body.\nSecond one.",
+    ),
+    (
+        "<article><p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow>"
+        "<annotation encoding='application/x-tex'>no</annotation></semantics></math> holds</p></article>",
+        "so x=1 holds",
+    ),
 ]
 
 
