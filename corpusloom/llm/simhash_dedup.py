@@ -18,9 +18,10 @@ Copies share a fingerprint and are one row from the first step on. Components an
 Spark; nothing grows on the driver.
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked like any other;
-repeated rows and null identifiers keep their rows (a null identifier is never a component id
-while the component has another); an empty table gives an empty result; extra columns are ignored
-by ``components`` and kept by ``keep_one``.
+repeated rows and null identifiers keep their rows in ``components`` (a null identifier is never a
+component id while the component has another); ``keep_one`` decides row by row, by identifier and
+text, so one row of every component stays whatever its identifiers; an empty table gives an empty
+result; extra columns are ignored by ``components`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import attach, stage, union
+from corpusloom.llm.common import attach, plain_text, stage, union
+from corpusloom.llm.exact_dedup import sha256
 
 SHINGLE = 4
 LINK = 4
@@ -76,15 +78,20 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; with ``digest`` also the SHA-256 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [_signed(fingerprint(t.as_py(), shingle)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(values, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", "digest"][: batch.num_columns]
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    told = [sha256(plain_text()).alias("digest")] if digest else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *told).mapInArrow(
+        run, "doc_id long, fp long" + ", digest binary" * digest
+    )
 
 
 @lru_cache(None)
@@ -255,13 +262,19 @@ def label_components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id of the component, per row of ``docs``."""
-    rows = stage(fingerprints(docs, shingle), "simhash-rows")
+def _members(rows: DataFrame) -> DataFrame:
+    """fp, first, n and root of the distinct fingerprints of the stored ``rows``: smallest identifier,
+    number of rows, smallest fingerprint of the component."""
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
     roots = label_components(links(distinct))
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    member = stage(member, "simhash-members")
+    return stage(member, "simhash-members")
+
+
+def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id of the component, per row of ``docs``."""
+    rows = stage(fingerprints(docs, shingle), "simhash-rows")
+    member = _members(rows)
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
     smallest = stage(smallest, "simhash-components")
     classes = attach(member, smallest, ["root"], "size", member.count(), "inner").select("fp", "n", "component_id")
@@ -269,12 +282,28 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose identifier is the smallest of their component.
-
-    Identifiers are taken as unique, as after exact deduplication; rows that repeat the smallest
-    identifier stay together. A component of null identifiers only keeps all its rows.
-    """
-    found = components(docs)
-    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left_anti")
+    """One row of ``docs`` per component, all columns as they are: the smallest identifier, a null
+    one last, and of several texts under it the one of the smallest digest."""
+    rows = stage(fingerprints(docs, digest=True), "simhash-rows")
+    labelled = attach(rows, _members(rows).select("fp", "n", "root"), ["fp"], "n", rows.count(), "inner")
+    labelled = stage(labelled.select("doc_id", "digest", "root"), "simhash-labelled")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    best = labelled.groupBy("root").agg(F.min(name).alias("best"), F.count("*").alias("size")).filter("size > 1")
+    best = stage(best, "simhash-best")
+    decided = attach(labelled, best, ["root"], "size", labelled.count(), "inner").groupBy("doc_id", "digest").agg(
+        F.max(name.eqNullSafe(F.col("best"))).alias("kept"), F.count("*").alias("n")
+    )
+    decided = decided.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept")
+    decided = stage(decided, "simhash-decided")
+    named = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_text_digest", sha256(plain_text()))
+
+    def those(frame: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        same = frame["_key"].eqNullSafe(found["_id"]) & (frame["_text_digest"] == found["_digest"])
+        return frame.join(found, same, how)
+
+    # Rows that agree in identifier and text are told apart by nothing: any one of them stays.
+    repeated = decided.filter("kept")
+    found = those(named, decided, "left_anti")
+    if not repeated.isEmpty():
+        found = found.unionByName(those(named, repeated, "left_semi").dropDuplicates(["_key", "_text_digest"]))
+    return found.drop("_key", "_text_digest")

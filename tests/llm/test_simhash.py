@@ -76,3 +76,21 @@ def test_odd_rows(odd):
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted("1 3 4 7 8 9".split())
     assert S.components(odd.limit(0)).count() == 0 and S.keep_one(odd.limit(0)).count() == 0
+
+
+def test_one_row_of_every_component_stays(spark):
+    word = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [
+        (1, word(1)), (None, word(1).upper()),  # a null identifier linked to another one
+        *[(None, word(i)) for i in range(2, 8)],  # unrelated texts without an identifier
+        (20, word(20)), (21, word(20).upper()), (21, word(21)),  # two texts under one identifier, one a near copy
+        (30, word(30)), (30, word(30).upper()), (30, word(30)),  # the smallest identifier repeats
+        (None, word(40)), (None, word(40).upper()), (None, word(40)),  # null identifiers only
+        (50, None), (50, ""), (None, " "),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, root string").repartition(3)
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = sorted((str(r.doc_id), (r.text or "").strip().lower()) for r in kept.collect())
+    want = [(1, word(1)), *[(None, word(i)) for i in range(2, 8)], (20, word(20)), (21, word(21)), (30, word(30)), (None, word(40)), (50, "")]
+    assert found == sorted((str(d), t) for d, t in want)
