@@ -10,6 +10,7 @@ from corpusloom.llm import (
     byte_bpe,
     decontaminate,
     exact_dedup,
+    filter_audit,
     hilbert_shards,
     html_text,
     language_id,
@@ -89,6 +90,10 @@ def op10_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 OP9_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id,
@@ -134,6 +139,36 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT *, coalesce(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), []) AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+  f AS (SELECT doc_id, part,
+          (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+          + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+          + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(first < doc_id, false)::INT AS mask FROM w),
+  marks AS (SELECT doc_id, bool_or(quality = 1)::INT AS good, bool_or(toxic = 1)::INT AS toxic FROM labels GROUP BY doc_id),
+  m AS (SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN marks USING (doc_id)),
+  letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(letter, bit)),
+  orders AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+               [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+             FROM letters a, letters b, letters c, letters d, letters e
+             WHERE len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+  steps AS (SELECT filter_order, i AS step, bits[i] AS own, coalesce(list_sum(bits[:i - 1]), 0)::INT AS before
+            FROM orders, unnest(range(1, 6)) AS r(i)),
+  counts AS (SELECT part, filter_order, step, own,
+      count(*) FILTER (mask & (own | before) = 0) AS kept,
+      count(*) FILTER (mask & own > 0 AND mask & before = 0) AS removed,
+      count(*) FILTER (mask & own > 0 AND mask & before > 0) AS redundant,
+      count(*) FILTER (mask = own) AS unique_fails,
+      coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0) AS good_lost,
+      coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0) AS toxic_lost
+    FROM m CROSS JOIN steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counts
+"""
+
 QUERIES = {
     "op1_text_density": op1_text_density,
     "op2_anchor_simhash": op2_anchor_simhash,
@@ -145,9 +180,11 @@ QUERIES = {
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_streaming_dedup": op9_streaming_dedup,
     "op10_super_kmers": op10_super_kmers,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {
     "op8_suffix_decontamination": OP8_SQL,
     "op9_streaming_dedup": OP9_SQL,
     "op10_super_kmers": OP10_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
