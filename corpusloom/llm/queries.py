@@ -15,6 +15,7 @@ from corpusloom.llm import (
     html_text,
     language_id,
     lm_score,
+    merkle,
     quality_fm,
     simhash_dedup,
     substring_dedup,
@@ -90,6 +91,12 @@ def op10_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op12_merkle_levels(spark: SparkSession, folder: str) -> DataFrame:
+    found = merkle.manifest(table(spark, folder, "documents"), merkle.every_third(), merkle.lower_az())
+    proof = merkle.proof_hash(F.col("path")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -139,6 +146,52 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE
+  d AS (SELECT doc_id, lang,
+      [CASE WHEN v IS NULL THEN '-' ELSE octet_length(encode(v)) || ':' || v END
+       FOR v IN [doc_id::VARCHAR, source, lang, n_chars::VARCHAR]] AS told,
+      text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS changed,
+      xor(4294967295, list_reduce(
+        [4294967295] || [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')],
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) AS crc
+    FROM documents),
+  l AS (SELECT doc_id, coalesce('=' || lang, '') AS grp,
+      sha256(array_to_string(told, '') || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+      CASE WHEN crc % 3 = 0 THEN sha256(array_to_string(told, '') || coalesce(octet_length(encode(changed)) || ':' || changed, '-')) END AS changed
+    FROM d),
+  n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS size FROM l),
+  tree(grp, lv, pos, size, h) AS (
+    SELECT grp, 0, pos, size, leaf FROM n
+    UNION ALL
+    SELECT grp, lv + 1, pos // 8, any_value((size + 7) // 8), sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE size > 1 GROUP BY grp, lv, pos // 8),
+  subroots AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS size FROM tree WHERE size = 1),
+  crown(lv, pos, size, h) AS (
+    SELECT 0, pos, size, subroot FROM subroots
+    UNION ALL
+    SELECT lv + 1, pos // 8, any_value((size + 7) // 8), sha256(string_agg(h, '' ORDER BY pos)) FROM crown WHERE size > 1 GROUP BY lv, pos // 8),
+  runs AS (SELECT grp, lv, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM tree WHERE size > 1 GROUP BY ALL),
+  crown_runs AS (SELECT lv, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM crown WHERE size > 1 GROUP BY ALL),
+  climbed(doc_id, leaf, grp, start, lv, pos, x, proof) AS (
+    SELECT doc_id, leaf, grp, pos, 0, pos, coalesce(changed, leaf), '' FROM n
+    UNION ALL
+    SELECT doc_id, leaf, grp, start, lv + 1, run,
+      sha256(array_to_string(hs[:pos % 8], '') || x || array_to_string(hs[pos % 8 + 2:], '')),
+      proof || array_to_string(hs[:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '')
+    FROM (SELECT *, pos // 8 AS run FROM climbed) JOIN runs USING (grp, lv, run)),
+  inside AS (SELECT * FROM climbed QUALIFY row_number() OVER (PARTITION BY grp, start ORDER BY lv DESC) = 1),
+  crowned(doc_id, leaf, grp, start, subroot, lv, pos, x, proof) AS (
+    SELECT doc_id, leaf, grp, start, subroot, 0, s.pos, x, proof FROM inside JOIN subroots s USING (grp)
+    UNION ALL
+    SELECT doc_id, leaf, grp, start, subroot, lv + 1, run,
+      sha256(array_to_string(hs[:pos % 8], '') || x || array_to_string(hs[pos % 8 + 2:], '')),
+      proof || array_to_string(hs[:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '')
+    FROM (SELECT *, pos // 8 AS run FROM crowned) JOIN crown_runs USING (lv, run)),
+  done AS (SELECT * FROM crowned QUALIFY row_number() OVER (PARTITION BY grp, start ORDER BY lv DESC) = 1)
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = h AS verified
+FROM done CROSS JOIN (SELECT h FROM crown WHERE size = 1)
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
   w AS (SELECT *, coalesce(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), []) AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
@@ -180,11 +233,13 @@ QUERIES = {
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_streaming_dedup": op9_streaming_dedup,
     "op10_super_kmers": op10_super_kmers,
+    "op12_merkle_levels": op12_merkle_levels,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {
     "op8_suffix_decontamination": OP8_SQL,
     "op9_streaming_dedup": OP9_SQL,
     "op10_super_kmers": OP10_SQL,
+    "op12_merkle_levels": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
