@@ -19,6 +19,7 @@ from corpusloom.llm import (
     quality_fm,
     simhash_dedup,
     substring_dedup,
+    warc_archive,
 )
 from corpusloom.llm.common import fold, table
 
@@ -91,6 +92,12 @@ def op10_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op11_warc_shards(spark: SparkSession, folder: str) -> DataFrame:
+    archive = warc_archive.write(table(spark, folder, "pages"))
+    found = warc_archive.read(spark, archive)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_merkle_levels(spark: SparkSession, folder: str) -> DataFrame:
     found = merkle.manifest(table(spark, folder, "documents"), merkle.every_third(), merkle.lower_az())
     proof = merkle.proof_hash(F.col("path")).alias("proof_sha256")
@@ -146,6 +153,15 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+  best AS (SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS response FROM p)
+SELECT page_id, size AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM best
+"""
+
 OP12_SQL = r"""
 WITH RECURSIVE
   d AS (SELECT doc_id, lang,
@@ -233,6 +249,7 @@ QUERIES = {
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_streaming_dedup": op9_streaming_dedup,
     "op10_super_kmers": op10_super_kmers,
+    "op11_warc_shards": op11_warc_shards,
     "op12_merkle_levels": op12_merkle_levels,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -240,6 +257,7 @@ ORACLES = {
     "op8_suffix_decontamination": OP8_SQL,
     "op9_streaming_dedup": OP9_SQL,
     "op10_super_kmers": OP10_SQL,
+    "op11_warc_shards": OP11_SQL,
     "op12_merkle_levels": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
