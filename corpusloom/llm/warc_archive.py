@@ -101,8 +101,8 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def shard_starts(planned: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[bytes]:
     """The first key of every shard but the first, in order."""
-    cost = F.when(F.col("response").isNull(), F.col("size")).otherwise(0) + RECORD_BYTES
-    costs = planned.select("key", "row", cost.alias("cost"))
+    # Pages that will be revisits count in full: their payload moves to the shard as well.
+    costs = planned.select("key", "row", (F.col("size") + RECORD_BYTES).alias("cost"))
     total = costs.agg(F.sum("cost")).first()[0] or 0
     width = max(shard_bytes, -(-total // MOST_SHARDS))
     upto = running_totals(costs, ["key", "row"], {"upto": "cost"})
