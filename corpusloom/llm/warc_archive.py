@@ -306,7 +306,8 @@ def write(pages: DataFrame, folder: str | None = None, least: int = LEAST, shard
     )
     # Of a key first the response, which is the page with the largest url.
     order = ["shard", "key", "page", F.col("response").isNotNull(), F.col("url").desc_nulls_last()]
-    sorted_rows = decisions.unionByName(records).repartition(len(starts) + 1, "shard").sortWithinPartitions(*order)
+    rows = decisions.unionByName(records).repartitionById(len(starts) + 1, F.col("shard").cast("int"))
+    sorted_rows = rows.sortWithinPartitions(*order)
     written = stage(sorted_rows.mapInArrow(_shard_writer(folder, file_bytes), f"{MANIFEST}, temporary string"), "warc-written")
     manifest = f"{folder}/manifest"
     written.repartition("name").mapInArrow(_renamer(folder), MANIFEST).write.parquet(manifest)
