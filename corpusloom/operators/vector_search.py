@@ -1,21 +1,16 @@
-"""Exact cosine search over vector columns."""
+"""Exact cosine search over vector columns for one query; many at once are in ``vector_index``."""
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numeric import cosine
 from corpusloom.functions.text import words
-from corpusloom.staging import stage
-
-QUERY_BLOCK = 4096
-SCORES_AT_ONCE = 4_000_000
 
 
 def vector_literal(values: Sequence[float]) -> Column:
@@ -44,77 +39,6 @@ def above(vectors: DataFrame, query: Sequence[float], threshold: float) -> DataF
     return scored(vectors, query).where(F.col("score") >= threshold)
 
 
-def _block_search(vectors: DataFrame, block: list, key: str, k: int) -> DataFrame:
-    """Per-task top ``k`` of every query of the block, by matrix products over Arrow batches."""
-    spark: SparkSession = vectors.sparkSession
-    ids = np.array([row["qid"] for row in block])
-    matrix = np.array([row["query"] for row in block], dtype=np.float64)
-    lengths = np.linalg.norm(matrix, axis=1)
-    shared = spark.sparkContext.broadcast((ids, matrix / np.where(lengths > 0, lengths, 1.0)[:, None]))
-    key_type = vectors.schema[key].dataType.simpleString()
-
-    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, queries = shared.value
-        slice_rows = max(1, SCORES_AT_ONCE // len(qids))
-        kept = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            for at in range(0, len(batch), slice_rows):
-                part = batch.iloc[at : at + slice_rows]
-                rows = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                sizes = np.linalg.norm(rows, axis=1)
-                usable = sizes > 0
-                keys = part[key].to_numpy()[usable]
-                scores = (rows[usable] / sizes[usable, None]) @ queries.T
-                keep = min(k, len(keys))
-                # per query: the best of this slice by (score rounded to 9 places, key)
-                by_key = np.argsort(keys, kind="stable")
-                order = np.argsort(-np.round(scores[by_key], 9), axis=0, kind="stable")[:keep]
-                found = pd.DataFrame(
-                    {
-                        "qid": np.tile(qids, keep),
-                        key: keys[by_key][order].ravel(),
-                        "score": np.take_along_axis(scores[by_key], order, axis=0).ravel(),
-                    }
-                )
-                kept = found if kept is None else pd.concat([kept, found])
-                kept = kept.assign(_fine=kept["score"].round(9))
-                kept = kept.sort_values(["qid", "_fine", key], ascending=[True, False, True])
-                kept = kept.groupby("qid", sort=False).head(k).drop(columns="_fine")
-        if kept is not None:
-            yield kept
-
-    return vectors.select(key, "embedding").mapInPandas(tops, f"qid bigint, {key} {key_type}, score double")
-
-
-def nearest_batch(
-    vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block: int = QUERY_BLOCK
-) -> DataFrame:
-    """Top ``k`` for each query (qid, query vector): (qid, rank, key, score).
-
-    Queries are sent to the tasks in blocks of bounded size; all pairs are scored by matrix
-    products inside the tasks and never become rows.
-    """
-    asked = queries.select(
-        F.col("qid").cast("bigint").alias("qid"), F.col("query").cast("array<double>").alias("query")
-    )
-    rows = asked.toLocalIterator(prefetchPartitions=False)
-    blocks = iter(lambda: list(itertools.islice(rows, block)), [])
-    found = None
-    for first in blocks:
-        part = _block_search(vectors, first, key, k)
-        if found is not None or len(first) == block:
-            # more than one block: run each now, so that only one is held at a time
-            part = stage(part, "nearest")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        schema = f"qid bigint, {key} {vectors.schema[key].dataType.simpleString()}, score double"
-        found = vectors.sparkSession.createDataFrame([], schema)
-    best = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), key)
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
 # -- embedding ----------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from corpusloom.functions.columns import literal_rows
 from corpusloom.operators import chunking as C
 from corpusloom.operators import lexical_search as L
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import vector_index as I
 from corpusloom.operators import vector_search as V
 from corpusloom.plans import sqltext as S
 from corpusloom.plans.registry import query, table, texts
@@ -301,7 +302,37 @@ def cosine_batch(spark: SparkSession, sf: str) -> DataFrame:
     """All vectors of one label as queries against the whole table."""
     vectors = table(spark, sf, "embeddings")
     queries = vectors.where("label = 7").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
-    best = V.nearest_batch(vectors, queries, 5)
+    best = I.search_all(vectors, queries, 5)
+    return best.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def _index(spark: SparkSession, sf: str) -> tuple[I.VectorIndex, DataFrame]:
+    """The index of all vectors, read back, and every fiftieth as a query."""
+    vectors = table(spark, sf, "embeddings")
+    path = fresh_path(spark, "vector-index")
+    I.build_index(vectors, path)
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    return I.load_index(spark, path), queries
+
+
+@query("ivf_search")
+def ivf_search(spark: SparkSession, sf: str) -> DataFrame:
+    """As many lists as hold 0.95 of the best ten, measured on stored vectors."""
+    index, queries = _index(spark, sf)
+    best = I.search(index, queries, 10, probes=I.calibrate(index, 10))
+    return best.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "ivf_search_exact",
+    f"""SELECT qid, rank::INT AS rank, vec_id, round(s, 6) AS score FROM (
+          SELECT qid, vec_id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, vec_id) AS rank
+          FROM (SELECT q.vec_id AS qid, e.vec_id, {_COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
+)
+def ivf_search_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The same index; lists that the bound on their members rules out are not visited."""
+    index, queries = _index(spark, sf)
+    best = I.search(index, queries, 10, probes=4, exact=True)
     return best.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 

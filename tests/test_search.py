@@ -1,6 +1,5 @@
 import math
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,22 +44,6 @@ def test_search_without_terms(spark):
     assert L.search_chunks(docs, queries).collect() == []
 
 
-def test_vector_batches_equal_single_queries(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(300, [0.0] * 8)]
-    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(5)
-    queries = vectors.where("vec_id < 7").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
-    monkeypatch.setattr(V, "SCORES_AT_ONCE", 50)
-    whole = V.nearest_batch(vectors, queries, 4)
-    blocks = V.nearest_batch(vectors, queries, 4, block=3)
-    key = lambda r: (r.qid, r["rank"])
-    a, b = sorted(whole.collect(), key=key), sorted(blocks.collect(), key=key)
-    assert [(r.qid, r.vec_id) for r in a] == [(r.qid, r.vec_id) for r in b]
-    for qid in range(7):
-        one = V.nearest(vectors, rows[qid][1], 4).collect()
-        assert [r.vec_id for r in one] == [r.vec_id for r in a if r.qid == qid]
-
-
 def test_embedding_calls_are_batched_and_repeated(spark):
     docs = spark.createDataFrame([(i, "x" * i) for i in range(10)], "i int, text string").coalesce(1)
     failures = []
