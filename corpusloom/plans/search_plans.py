@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.columns import literal_rows
+from corpusloom.operators import bounded_search as B
 from corpusloom.operators import chunking as C
 from corpusloom.operators import lexical_search as L
 from corpusloom.operators import retrieval as R
@@ -66,6 +67,18 @@ def bm25_stored_index(spark: SparkSession, sf: str) -> DataFrame:
     return L.search(L.load_index(spark, path), asked(spark), 10)
 
 
+_DOCS_BY_TURN = "(SELECT conv_id * 1000 + turn AS qid, text FROM conversations)"
+
+
+@query("bm25_turns", f"SELECT * FROM {topk_sql(DOCS_SQL, _DOCS_BY_TURN, 3)}")
+def bm25_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of the conversations as a query on blocks that were written and read back."""
+    path = fresh_path(spark, "blocks")
+    B.save_blocks(B.build_blocks(L.build_index(documents(spark, sf))), path)
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    return B.search(B.load_blocks(spark, path), turns, 3)
+
+
 @query(
     "bm25_batch",
     f"SELECT * FROM {topk_sql(DOCS_SQL, '(SELECT item_id AS qid, text FROM benchmark)', 5)}",
@@ -73,7 +86,7 @@ def bm25_stored_index(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every passage of the second table as a query."""
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return L.search_chunks(documents(spark, sf), queries, 5)
+    return B.search_chunks(documents(spark, sf), queries, 5)
 
 
 _CHUNKS_SQL = f"""(SELECT doc_id || ':' || (st // 800) AS chunk_id, {S.strip('substr(clean, st + 1, 1000)')} AS text
