@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import numeric as N
 from corpusloom.functions import text as T
 from corpusloom.operators import vocabulary as V
-from corpusloom.operators.wordpiece import vocabulary_map, word_pieces
+from corpusloom.operators.wordpiece import full_token_ids, trie_of, word_pieces
 from corpusloom.plans import sqltext as S
 from corpusloom.plans.registry import query, table, texts
 from corpusloom.plans.vocab_plans import digest, digest_sql
@@ -40,9 +40,7 @@ def sub_word_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return V.label_ids(tokens, "token")
 
 
-@query(
-    "wordpiece_tokens",
-    f"""WITH RECURSIVE vocab AS MATERIALIZED {_VOCAB},
+_SPLIT_CTE = f"""WITH RECURSIVE vocab AS MATERIALIZED {_VOCAB},
           toks AS MATERIALIZED (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS place FROM (SELECT doc_id, {S.basic_tokens('text')} AS ws FROM documents)),
           distinct_words AS MATERIALIZED (SELECT DISTINCT w FROM toks),
           split AS (
@@ -53,14 +51,19 @@ def sub_word_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
             JOIN vocab ON token = (CASE WHEN pos > 0 THEN '##' ELSE '' END) || substr(w, pos + 1, k)
             GROUP BY w, pos),
           done AS MATERIALIZED (SELECT d.w, coalesce(s.pieces, ['[UNK]']) AS pieces FROM distinct_words d LEFT JOIN (SELECT w, pieces FROM split WHERE pos = length(w)) s USING (w)),
-          docs AS (SELECT doc_id, flatten(list(pieces ORDER BY place)) AS ps FROM toks JOIN done USING (w) GROUP BY doc_id)
+          docs AS (SELECT doc_id, flatten(list(pieces ORDER BY place)) AS ps FROM toks JOIN done USING (w) GROUP BY doc_id)"""
+
+
+@query(
+    "wordpiece_tokens",
+    f"""{_SPLIT_CTE}
         SELECT doc_id, len(ps)::INT AS n_pieces, len([p for p in ps if p = '[UNK]'])::INT AS n_unknown, {digest_sql('ps')} AS pieces_md5 FROM docs""",
 )
 def wordpiece_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Basic tokens split into sub-words of a small vocabulary."""
-    vocab = vocabulary_map(sub_word_vocabulary(spark, sf))
+    trie = trie_of(sub_word_vocabulary(spark, sf))
     docs = texts(spark, sf, "documents").select("doc_id", T.basic_tokens(F.col("text")).alias("ws"))
-    pieces = docs.select("doc_id", word_pieces(spark, vocab, F.col("ws")).alias("ps"))
+    pieces = docs.select("doc_id", word_pieces(spark, trie, F.col("ws")).alias("ps"))
     return pieces.select(
         "doc_id",
         F.size("ps").alias("n_pieces"),
@@ -69,6 +72,18 @@ def wordpiece_tokens(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "full_token_ids",
+    f"""{_SPLIT_CTE}, flat AS (SELECT doc_id, unnest(ps) AS token, unnest(range(0, len(ps))) AS place FROM docs)
+        SELECT doc_id, list(id::INT ORDER BY place) AS input_ids FROM flat JOIN vocab USING (token) GROUP BY doc_id""",
+)
+def full_token_ids_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The full tokenizer: basic tokens, word pieces, ids. Documents without tokens have none."""
+    trie = trie_of(sub_word_vocabulary(spark, sf))
+    ids = texts(spark, sf, "documents").select("doc_id", full_token_ids(spark, trie, F.col("text")).alias("input_ids"))
+    return ids.where(F.size("input_ids") > 0)
+
+
 @query(
     "embedding_lookup",
     """SELECT row_id, place::INT AS place, id::BIGINT AS id, round(list_sum(e.embedding::DOUBLE[]), 5) AS total FROM (

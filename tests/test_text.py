@@ -1,9 +1,13 @@
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.wordpiece import full_tokens, split_word
+from corpusloom.operators.wordpiece import Trie, _split_lists, full_token_ids, full_tokens, split_word
 
 VOCAB = {t: i for i, t in enumerate("[UNK] [CLS] [SEP] want ##want ##ed wa un runn ##ing ,".split())}
+TRIE = Trie.of(list(VOCAB), list(VOCAB.values()))
 
 
 def value(spark, text, expression):
@@ -11,7 +15,7 @@ def value(spark, text, expression):
 
 
 def test_full_tokens(spark):
-    pieces = value(spark, "UNwantéd,running", lambda t: full_tokens(spark, VOCAB, t))
+    pieces = value(spark, "UNwantéd,running", lambda t: full_tokens(spark, TRIE, t))
     assert pieces == ["un", "##want", "##ed", ",", "runn", "##ing"]
     assert [VOCAB[p] for p in pieces] == [7, 4, 5, 10, 8, 9]
 
@@ -91,3 +95,30 @@ def test_answer_values(spark):
     assert number("123456789012345678901234", "thousands") == "123456789012345678901234000"
     assert number(None, "units") == "N/A"
     assert value(spark, " YES ", T.answer_boolean) == "true"
+
+
+_LETTERS = st.text(alphabet="ab#é日", min_size=1, max_size=4)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(_LETTERS, max_size=12), st.sets(_LETTERS.map("##".__add__), max_size=8), st.lists(st.none() | st.lists(st.text(alphabet="ab#é日", max_size=8) | st.just("é" * 201), max_size=6), min_size=1))
+def test_trie_splits_like_the_rule(first, more, rows):
+    tokens = sorted(first | more | {"[UNK]"})
+    trie = Trie.of(tokens, list(range(100, 100 + len(tokens))))
+    bounds, pieces = _split_lists(trie, pa.array(rows, pa.list_(pa.string())))
+    found = pa.ListArray.from_arrays(bounds, trie.tokens.take(pa.array(pieces))).to_pylist()
+    assert found == [None if r is None else [p for w in r for p in split_word(w, set(tokens))] for r in rows]
+
+
+def test_large_trie():
+    tokens = [f"{i * 7919 % 1000003:x}" for i in range(60_000)] + [f"##{i:x}" for i in range(3000)] + ["[UNK]"]
+    trie = Trie.of(tokens, list(range(len(tokens))))
+    sizes, pieces = trie.split(pa.array([t for t in tokens if not t.startswith("##")]))
+    assert sizes.tolist() == [1] * 60_001
+    assert [tokens[p] for p in pieces] == [t for t in tokens if not t.startswith("##")]
+
+
+def test_full_token_ids(spark):
+    row = spark.createDataFrame([("UNwantéd,running",), ("",), (None,)], "t string").select(full_token_ids(spark, TRIE, F.col("t")).alias("ids"))
+    ids = {t: i for i, t in enumerate(TRIE.tokens.to_pylist())}
+    assert [r.ids for r in row.collect()] == [[ids[t] for t in ("un", "##want", "##ed", ",", "runn", "##ing")], [], None]
