@@ -26,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,7 +78,11 @@ LOOKS = _words("has with no without open enabled layout")
 #: The header of one of these is the article's own.
 OWN_HEADER = _words("article post entry story content")
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?/][^>]*>", re.S)
+#: Attributes with paired quotes first, without going back over them; a tag whose quotes do not pair
+#: ends at the next angle bracket.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?=>)|[^>]*+)>|<[!?/][^>]*+>", re.S
+)
 _ATTRIBUTE = re.compile(
     r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I
 )
@@ -92,11 +97,14 @@ class Page:
         self.tags, self.parents, self.attributes = ["#root"], [-1], [""]
         #: (node, text); text None at the start and end of a block, " " at a space.
         self.events: list[tuple[int, str | None]] = []
+        #: How many elements of a name are open, so that a name without any is not looked for.
+        self.open: Counter[str] = Counter()
         stack = [0]
         at, end = 0, len(source)
+        last = source.rfind(">")
         search = _TAG.search
         while at < end:
-            found = search(source, at)
+            found = search(source, at) if at <= last or "<!--" in source[at:] else None
             if found is None:
                 self.events.append((stack[-1], source[at:]))
                 break
@@ -127,14 +135,16 @@ class Page:
                 at = close.end() if close else end
             elif name not in VOID:
                 stack.append(node)
+                self.open[name] += 1
 
     def _pop(self, stack: list[int]) -> None:
         node = stack.pop()
+        self.open[self.tags[node]] -= 1
         if self.tags[node] in BLOCKS:
             self.events.append((node, None))
 
     def _close(self, stack: list[int], name: str) -> None:
-        if name in ("html", "body"):
+        if name in ("html", "body") or not self.open[name]:
             return
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[depth]]
@@ -147,6 +157,8 @@ class Page:
                 return
 
     def _end_paragraph(self, stack: list[int]) -> None:
+        if not self.open["p"]:
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[depth]]
             if tag == "p":
@@ -157,6 +169,8 @@ class Page:
                 return
 
     def _end_siblings(self, stack: list[int], kinds: frozenset, bounds: frozenset) -> None:
+        if not any(self.open[kind] for kind in kinds):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[depth]]
             if tag in bounds:

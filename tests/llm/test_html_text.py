@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -103,3 +104,14 @@ def test_rows(spark):
     found = sorted(map(tuple, html_text.extract(pages).collect()), key=str)
     assert found == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "x", 1), (2, "v", "", 0)], key=str)
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_broken_markup_takes_linear_time():
+    """Truncated tags with many quotes, and end tags without start, are read once."""
+    begin = time.time()
+    assert main_text("<p>Hello</p> if a <b then" + ' "x" ' * 10_000).startswith("Hello\nif a <b then")
+    assert main_text("<p>Hello</p> if a <b then" + " it's " * 10_001).startswith("Hello\nif a <b then")
+    assert main_text("<b>" * 100_000 + "text" + "</i>" * 100_000) == "text"
+    assert main_text("<b>" * 20_000 + "<div>x</div>" * 20_000) == "\n".join("x" * 20_000)
+    assert main_text('<p title="x>Hello there</p><p>More</p>') == "Hello there\nMore"
+    assert time.time() - begin < 10
