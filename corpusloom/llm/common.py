@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.staging import fresh_path, stage
 
-__all__ = ["attach", "fold", "fresh_path", "plain_text", "stage", "table", "union"]
+__all__ = ["attach", "fold", "free_name", "fresh_path", "plain_text", "stage", "table", "union"]
 
 #: A key counts as frequent when more than one row in FREQUENT carries it, so there are fewer
 #: than FREQUENT such keys whatever the number of rows: their table may be broadcast.
@@ -31,6 +31,14 @@ def fold(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(column.cast("string"), "utf-8")), F.lit(folds)), F.lit(0)).cast("int")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

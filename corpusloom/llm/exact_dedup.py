@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import attach, fresh_path, plain_text, stage, union
+from corpusloom.llm.common import attach, free_name, fresh_path, plain_text, stage, union
+from corpusloom.staging import hinted
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -30,6 +31,8 @@ STATE_STORE = {
 STATE_ROWS = 1_000_000
 #: Bound of the broadcast table that tells which texts may have a hit digest.
 SLOTS = 1 << 20
+#: Rows to drop, 40 bytes each, that keep_one broadcasts at most.
+DROPPED = 1_000_000
 
 
 def sha256(text: Column) -> Column:
@@ -152,22 +155,21 @@ def _by_bytes(docs: DataFrame, differing: DataFrame, digest) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are."""
-    decided = stage(deduplicate(docs), "dedup-decided")
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    named = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_text_digest", sha256(plain_text()))
-    rows = named.join(
-        kept, named["_key"].eqNullSafe(kept["_id"]) & (named["_text_digest"] == kept["_digest"]), "left_semi"
-    )
-    repeated = (
-        decided.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-        .agg(F.count("*").alias("_n"))
-        .filter("_n > 1")
-        .drop("_n")
-    )
-    repeated = stage(repeated, "dedup-repeated")
+    """The rows of ``docs`` that stay, all columns as they are. Only rows of texts that repeat are
+    looked for; up to DROPPED of them are broadcast, so that the texts need not move."""
+    decided = deduplicate(docs).filter("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    decided = decided.agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).filter("NOT _kept OR _n > 1")
+    decided = stage(decided, "dedup-decided")
+    key, text_digest = free_name(docs, "_key"), free_name(docs, "_text_digest")
+    named = docs.withColumns({key: F.col("doc_id").cast("long"), text_digest: sha256(plain_text())})
+
+    def those(found: DataFrame, how: str) -> DataFrame:
+        found = hinted(found, DROPPED)
+        return named.join(found, named[key].eqNullSafe(found["_id"]) & (named[text_digest] == found["_digest"]), how)
+
+    rows = those(decided, "left_anti")
+    # Rows that agree in identifier and text are told apart by nothing: any one of them stays.
+    repeated = decided.filter("_kept")
     if not repeated.isEmpty():
-        same = rows["_key"].eqNullSafe(repeated["_id"]) & (rows["_text_digest"] == repeated["_digest"])
-        once = rows.join(repeated, same, "left_semi").dropDuplicates(["_key", "_text_digest"])
-        rows = rows.join(repeated, same, "left_anti").unionByName(once)
-    return rows.drop("_key", "_text_digest")
+        rows = rows.unionByName(those(repeated, "left_semi").dropDuplicates([key, text_digest]))
+    return rows.drop(key, text_digest)

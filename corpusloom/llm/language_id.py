@@ -267,7 +267,10 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 
 def accept(docs: DataFrame, network: Network | None, least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose language is determined with a score of at least ``least``, all
-    columns as they are. Rows are decided one by one, without a join."""
+    columns as they are. Rows are decided one by one, without a join. If nothing could be learned
+    (``network`` is None), every text with a letter stays."""
+    if network is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(network)
     others = docs.columns
     text = others.index("text")

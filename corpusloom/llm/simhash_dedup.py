@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import attach, plain_text, stage, union
+from corpusloom.llm.common import attach, free_name, plain_text, stage, union
 from corpusloom.llm.exact_dedup import sha256
 
 SHINGLE = 4
@@ -295,15 +295,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     )
     decided = decided.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept")
     decided = stage(decided, "simhash-decided")
-    named = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_text_digest", sha256(plain_text()))
+    key, text_digest = free_name(docs, "_key"), free_name(docs, "_text_digest")
+    named = docs.withColumns({key: F.col("doc_id").cast("long"), text_digest: sha256(plain_text())})
 
     def those(frame: DataFrame, found: DataFrame, how: str) -> DataFrame:
-        same = frame["_key"].eqNullSafe(found["_id"]) & (frame["_text_digest"] == found["_digest"])
+        same = frame[key].eqNullSafe(found["_id"]) & (frame[text_digest] == found["_digest"])
         return frame.join(found, same, how)
 
     # Rows that agree in identifier and text are told apart by nothing: any one of them stays.
     repeated = decided.filter("kept")
     found = those(named, decided, "left_anti")
     if not repeated.isEmpty():
-        found = found.unionByName(those(named, repeated, "left_semi").dropDuplicates(["_key", "_text_digest"]))
-    return found.drop("_key", "_text_digest")
+        found = found.unionByName(those(named, repeated, "left_semi").dropDuplicates([key, text_digest]))
+    return found.drop(key, text_digest)

@@ -43,3 +43,9 @@ def test_odd_rows(odd):
     kept = E.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 7, 8, 9]
     assert E.deduplicate(odd.limit(0)).count() == 0 and E.keep_one(odd.limit(0)).count() == 0
+
+
+def test_clashing_columns_stay(odd):
+    named = odd.selectExpr("*", "1 AS _key", "2 AS _text_digest", "3 AS _id", "4 AS _digest")
+    kept = E.keep_one(named)
+    assert kept.columns == named.columns and kept.where("_key = 1 AND _text_digest = 2 AND _id = 3 AND _digest = 4").count() == 6

@@ -51,4 +51,4 @@ def test_odd_rows(monkeypatch, odd):
             assert (r.lang_pred == "und") == (r.doc_id in (1, 2, 8) or network is None) and 0 <= r.score <= 1
         kept = L.accept(docs, network)
         assert kept.columns == docs.columns
-        assert kept.count() == (0 if network is None else 7)
+        assert kept.count() == min(docs.count(), 7)

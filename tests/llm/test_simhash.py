@@ -94,3 +94,9 @@ def test_one_row_of_every_component_stays(spark):
     found = sorted((str(r.doc_id), (r.text or "").strip().lower()) for r in kept.collect())
     want = [(1, word(1)), *[(None, word(i)) for i in range(2, 8)], (20, word(20)), (21, word(21)), (30, word(30)), (None, word(40)), (50, "")]
     assert found == sorted((str(d), t) for d, t in want)
+
+
+def test_clashing_columns_stay(odd):
+    named = odd.selectExpr("*", "1 AS _key", "2 AS _text_digest", "3 AS _id", "4 AS _digest")
+    kept = S.keep_one(named)
+    assert kept.columns == named.columns and kept.where("_key = 1 AND _text_digest = 2 AND _id = 3 AND _digest = 4").count() == S.keep_one(odd).count()
