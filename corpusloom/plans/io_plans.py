@@ -3,10 +3,11 @@ through the reader, and compared with the tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import keyed_table as K
 from corpusloom.operators import tables as B
 from corpusloom.operators.examples import dataset_examples
 from corpusloom.plans import sqltext as S
@@ -14,7 +15,7 @@ from corpusloom.plans.chunk_plans import STRUCTURAL_SQL, structural_chunks
 from corpusloom.plans.registry import query, table, texts
 from corpusloom.sources import readers as R
 from corpusloom.sources import writers as W
-from corpusloom.staging import fresh_path, stage
+from corpusloom.staging import fresh_path, hinted, stage
 
 
 def write_ordered(df: DataFrame, key: str, column: str, name: str) -> str:
@@ -82,6 +83,83 @@ def chunk_json(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("doc_id", "label", "char_count", F.md5("content").alias("content_md5"), "token_count")
 
 
+PER_FILE = 50
+
+
+def write_groups(df: DataFrame, key: str, json: Column, name: str, wrap: str = "[%s]") -> str:
+    """JSON files of up to PER_FILE values of ``json`` each, one folder per file; returns a glob of the files."""
+    group = F.floor(F.col(key) / PER_FILE).alias("folder")
+    rows = df.select(group, F.struct(key, json.alias("_json")).alias("_row"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("_row")), lambda r: r["_json"]), ",\n")
+    path = fresh_path(df.sparkSession, name)
+    rows.groupBy("folder").agg(F.format_string(wrap, joined).alias("value")).write.partitionBy("folder").text(path)
+    return f"{path}/*"
+
+
+_LINES = "(SELECT doc_id, source, lang, ls, unnest(range(1, len(ls) + 1)) AS page FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS ls FROM documents))"
+
+
+@query(
+    "page_folders",
+    f"""SELECT 'd' || doc_id AS doc_id, 'title ' || doc_id AS title, lang AS author, source, 'company ' || lang AS company_name, (page - 1)::INT AS page_index,
+          ls[page] AS text, (CASE WHEN page % 2 = 0 THEN 1 ELSE 0 END)::INT AS n_tables FROM {_LINES}""",
+)
+def page_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Page documents in JSON files of several folders, through the reader: one row per page."""
+    table_block = F.struct(F.lit("before").alias("preamble"), F.lit("| a |").alias("table"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"))
+    none = F.array().cast("array<struct<preamble:string,table:string,line_start:int,line_end:int>>")
+    pages = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.struct(i.alias("page_index"), line.alias("text"), F.when(i % 2 == 1, F.array(table_block)).otherwise(none).alias("tables")),
+    )
+    document = F.struct(
+        F.concat(F.lit("d"), F.col("doc_id")).alias("file_name"), F.concat(F.lit("title "), F.col("doc_id")).alias("title"),
+        F.col("lang").alias("author"), F.col("source"), F.concat(F.lit("company "), F.col("lang")).alias("company_name"),
+    )
+    path = write_groups(texts(spark, sf, "documents"), "doc_id", W.document_json(document, pages), "page-folders")
+    found = R.page_documents(spark, path)
+    return found.select("doc_id", "title", "author", "source", "company_name", "page_index", "text", F.size("tables").alias("n_tables"))
+
+
+@query(
+    "chunk_lists",
+    f"""SELECT doc_id::VARCHAR AS doc_id, (page - 1)::INT AS chunk_no, ls[page] AS content, (page - 1)::INT AS page, length(ls[page])::INT AS char_count, source, lang AS label
+        FROM {_LINES}""",
+)
+def chunk_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat chunks as a JSON list per file, through the reader."""
+    lines = F.split("text", "\n")
+    chunks = F.transform(
+        lines,
+        lambda line, i: F.struct(
+            F.col("doc_id").cast("string").alias("doc_id"), i.alias("chunk_no"), line.alias("content"), i.alias("page"),
+            F.lit(0).alias("token_count"), F.length(line).alias("char_count"), F.col("source"), F.col("lang").alias("label"),
+        ),
+    )
+    objects = F.array_join(F.transform(chunks, lambda c: F.to_json(c)), ",")
+    path = write_groups(texts(spark, sf, "documents"), "doc_id", objects, "chunk-lists")
+    return R.flat_chunks(spark, path).select("doc_id", "chunk_no", "content", "page", "char_count", "source", "label")
+
+
+@query(
+    "json_folder",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'empty content' END AS error,
+         CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS content_md5 FROM documents""",
+)
+def json_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Every JSON file of a folder as raw lines, checked before they are taken as chunks."""
+    docs = texts(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text")).alias("content"),
+        F.lit(0).alias("page"), F.lit(1).alias("token_count"), F.length("text").alias("char_count"), "source", F.col("lang").alias("label"),
+    )
+    path = fresh_path(spark, "json-folder")
+    W.chunk_json(docs, path)
+    good, bad = B.split_valid(R.json_folder(spark, path), "value")
+    number = F.get_json_object("value", "$.doc_id").cast("bigint").alias("doc_id")
+    valid = good.select(number, F.lit(None).cast("string").alias("error"), F.md5(F.get_json_object("value", "$.content")).alias("content_md5"))
+    return valid.unionByName(bad.select(number, "error", F.lit(None).cast("string").alias("content_md5")))
+
+
 _JSON_KIND = "doc_id % 4"
 
 
@@ -148,6 +226,44 @@ def tsv_examples(spark: SparkSession, sf: str) -> DataFrame:
     return dataset_examples(cells, "xnli", "train")
 
 
+_FIRST_LINES = "(SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, replace(ls[1], chr(9), ' ') AS a, replace(coalesce(ls[2], ''), chr(9), ' ') AS b FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
+
+
+@query("sentence_pairs", f"SELECT line_no, a AS t1, b AS t2 FROM {_FIRST_LINES}")
+def sentence_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two lines of every document as a tab-separated pair, through the reader."""
+    lines = F.transform(F.slice(F.split("text", "\n"), 1, 2), lambda x: F.translate(x, "\t", " "))
+    first, second = F.get(lines, F.lit(0)), F.coalesce(F.get(lines, F.lit(1)), F.lit(""))
+    rows = texts(spark, sf, "documents").select("doc_id", F.concat(first, F.lit("\t"), second).alias("line"))
+    return R.sentence_pairs(spark, write_ordered(rows, "doc_id", "line", "sentence-pairs"))
+
+
+@query("comma_cells", f"SELECT line_no, string_split(a, ',') AS cells FROM {_FIRST_LINES}")
+def comma_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Comma-separated lines without quoting: quotes are part of the cells."""
+    first = F.translate(F.get(F.split("text", "\n"), F.lit(0)), "\t", " ")
+    rows = texts(spark, sf, "documents").select("doc_id", first.alias("line"))
+    return R.delimited_lines(spark, write_ordered(rows, "doc_id", "line", "comma-cells"), ",")
+
+
+@query(
+    "stop_word_file",
+    f"""SELECT doc_id, len(list_filter({S.words('text')}, lambda w: NOT list_contains(stop, w)))::INT AS n_kept
+        FROM documents CROSS JOIN (SELECT list(DISTINCT w) AS stop FROM (SELECT lower(c_mktsegment) AS w FROM customer UNION ALL SELECT role FROM conversations))""",
+)
+def stop_word_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Stop words from a file, repeated lines and all, taken out of the documents' words by an anti-join."""
+    lines = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("line")).unionByName(
+        table(spark, sf, "conversations").select(F.col("role").alias("line"))
+    )
+    stop = R.stop_words(spark, write_lines(lines, "line", "stop-words"))
+    docs = texts(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("ws"))
+    left = docs.select("doc_id", F.explode_outer("ws").alias("token")).join(hinted(stop, 100_000), "token", "left_anti")
+    return docs.select("doc_id").join(
+        left.groupBy("doc_id").agg(F.count("token").cast("int").alias("n_kept")), "doc_id", "left"
+    ).select("doc_id", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+
+
 @query(
     "blank_documents",
     """SELECT (doc_id)::BIGINT AS doc, count(*)::BIGINT AS n_sentences, sum(length(trim(l)))::BIGINT AS chars
@@ -252,6 +368,26 @@ def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return B.read_table(spark, path).select("id", "content")
 
 
+@query(
+    "keyed_upserts",
+    f"""WITH batch AS ({_BATCH}), part AS (SELECT id, version % 2 AS half, max_by(content, version) AS content FROM batch GROUP BY ALL),
+          newest AS (SELECT id, max_by(content, half) AS content FROM part GROUP BY id)
+        SELECT coalesce(n.id, d.doc_id) AS id, coalesce(n.content, d.source) AS content
+        FROM newest n FULL JOIN (SELECT doc_id, source FROM documents) d ON n.id = d.doc_id""",
+)
+def keyed_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """Three upserts in a row into a table in buckets: all documents, the even turns, the odd ones."""
+    path = fresh_path(spark, "keyed")
+    K.create(spark, path, "id bigint, content string", key="id", buckets=8)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("content"), F.lit(0).alias("version"))
+    turns = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("id"), F.concat(F.lit("new "), F.col("role")).alias("content"), F.col("turn").alias("version")
+    )
+    for batch in (docs, turns.where("version % 2 = 0"), turns.where("version % 2 = 1")):
+        K.upsert(spark, path, batch, ["version"])
+    return K.read(spark, path)
+
+
 @query(
     "collection_rows",
     """SELECT doc_id::VARCHAR AS doc_id, chunk_type, title, page_index, count(*)::BIGINT AS n FROM (

@@ -10,8 +10,10 @@ from corpusloom.functions.chance import uniform, uniform_sql
 from corpusloom.functions.columns import joined
 from corpusloom.operators import answer_spans as A
 from corpusloom.plans import sqltext as S
+from corpusloom.plans.io_plans import write_groups
 from corpusloom.plans.registry import query, texts
 from corpusloom.plans.vocab_plans import digest, digest_sql
+from corpusloom.sources import readers as R
 
 # Every document is a context; the question asks for one of its words (the one in the middle).
 _SPLIT = "[w for w in regexp_split_to_array({}, '[ \\t\\r\\n\\x{{202F}}]+') if w <> '']"
@@ -54,6 +56,20 @@ def qa_examples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "question_files",
+    f"""SELECT doc_id::VARCHAR AS qas_id, start_position::INT AS start_position, end_position::INT AS end_position,
+          answer AS answer_text, ws AS doc_tokens FROM {EXAMPLES_SQL}""",
+)
+def question_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same questions through JSON files with up to fifty articles each."""
+    nested = articles(spark, sf).withColumn("_n", F.get("paragraphs", F.lit(0))["qas"][0]["id"].cast("bigint"))
+    json = F.to_json(F.struct("title", "paragraphs"))
+    path = write_groups(nested, "_n", json, "questions", wrap='{"data": [%s]}')
+    examples = A.training_examples(A.read_questions(R.questions(spark, path)))
+    return examples.select("qas_id", "start_position", "end_position", "answer_text", "doc_tokens")
+
+
 WIDTH, STRIDE, QUERY = 96, 32, 8
 
 
