@@ -197,6 +197,26 @@ def with_unique_ids(features: DataFrame) -> DataFrame:
     return joined.withColumn("unique_id", F.lit(1000000000) + F.col("_start") + F.col("doc_span_index")).drop("_start")
 
 
+# -- raw results ----------------------------------------------------------------------------------
+
+
+def with_results(features: DataFrame, results: DataFrame) -> DataFrame:
+    """Features with the raw model results of their ``unique_id`` (unique_id, start_logits, end_logits).
+
+    Every feature needs exactly one result with a score per token, or the query fails; results
+    without a feature are left out.
+    """
+    once = results.groupBy("unique_id").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("start_logits", "end_logits")]
+    )
+    joined = features.join(once, "unique_id", "left")
+    fits = (F.col("_n") == 1) & (F.size("start_logits") == F.size("tokens")) & (F.size("end_logits") == F.size("tokens"))
+    text = F.concat(F.lit("no single fitting result for feature "), F.col("unique_id").cast("string"))
+    failed = F.raise_error(text).cast("array<double>")
+    checked = F.when(F.coalesce(fits, F.lit(False)), F.col("start_logits")).otherwise(failed)
+    return joined.withColumn("start_logits", checked).drop("_n")
+
+
 # -- decoding -------------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from corpusloom.plans.io_plans import write_groups
 from corpusloom.plans.registry import query, texts
 from corpusloom.plans.vocab_plans import digest, digest_sql
 from corpusloom.sources import readers as R
+from corpusloom.staging import stage
 
 # Every document is a context; the question asks for one of its words (the one in the middle).
 _SPLIT = "[w for w in regexp_split_to_array({}, '[ \\t\\r\\n\\x{{202F}}]+') if w <> '']"
@@ -167,15 +168,16 @@ _NBEST_CTE = f"""{_FEATURES_CTE},
 
 
 def answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Raw results are a table of their own, as a model writes them, and meet their features by unique_id."""
     examples, found = features(spark, sf)
+    numbered = stage(A.with_unique_ids(found), "features-numbered")
     doc, span = F.col("qas_id").cast("bigint"), F.col("doc_span_index")
-    scored = found.withColumns(
-        {
-            "feature_index": span,
-            "start_logits": F.transform("tokens", lambda t, i: F.round(uniform(21, doc, span, i) * 8, 4)),
-            "end_logits": F.transform("tokens", lambda t, i: F.round(uniform(22, doc, span, i) * 8, 4)),
-        }
-    )
+    logits = [
+        F.transform("tokens", lambda t, i: F.round(uniform(seed, doc, span, i) * 8, 4)).alias(name)  # noqa: B023
+        for seed, name in ((21, "start_logits"), (22, "end_logits"))
+    ]
+    results = stage(numbered.select("unique_id", *logits), "raw-results")
+    scored = A.with_results(numbered, results).withColumn("feature_index", span)
     candidates = A.candidate_spans(scored, n_best=6, longest=12)
     words = examples.select("qas_id", "doc_tokens")
     nulls = A.null_scores(scored)

@@ -133,3 +133,17 @@ def test_null_entry_and_fallback(spark):
     assert rows(n=2, nulls=nulls) == [("q", 1, "a"), ("q", 2, "b"), ("q", 3, ""), ("r", 1, "")]
     questions = spark.createDataFrame([("q",), ("s",)], "qas_id string")
     assert rows(n=1, questions=questions) == [("q", 1, "a"), ("s", 1, "empty")]
+
+
+def test_results_by_unique_id(spark):
+    features = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "unique_id long, tokens array<string>")
+    good = [(2, [0.5], [0.25]), (1, [1.0, 2.0], [3.0, 4.0]), (9, [0.0], [0.0])]
+
+    def joined(rows):
+        results = spark.createDataFrame(rows, "unique_id long, start_logits array<double>, end_logits array<double>")
+        return sorted((r.unique_id, r.start_logits, r.end_logits) for r in A.with_results(features, results).collect())
+
+    assert joined(good) == [(1, [1.0, 2.0], [3.0, 4.0]), (2, [0.5], [0.25])]
+    for bad in (good[1:], [*good, good[0]], [(2, [0.5, 0.5], [0.25]), *good[1:]], [(2, [0.5], []), *good[1:]]):
+        with pytest.raises(Exception, match="no single fitting result for feature 2"):
+            joined(bad)
