@@ -162,12 +162,26 @@ def page_spans(pages: Column) -> Column:
 
 
 def page_of_offset(spans: Column, offset: Column) -> Column:
-    """Index of the span holding the offset; an offset in no span belongs to the last page."""
-    hits = F.filter(
-        F.transform(spans, lambda s, i: F.when((s["start"] <= offset) & (offset < s["end"]), i)),
-        lambda i: i.isNotNull(),
-    )
-    return F.coalesce(F.get(hits, F.lit(0)), F.greatest(F.size(spans) - 1, F.lit(0)))
+    """Index of the span holding the offset; an offset in no span belongs to the last page.
+
+    Spans come in order and do not overlap: the last one that starts at or before the offset is
+    found by halving.
+    """
+    count = F.size(spans)
+    low, high = F.lit(0).alias("low"), count.alias("high")
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = ((state["low"] + state["high"]) / 2).cast("int")
+        before = (state["low"] < state["high"]) & (F.get(spans, middle)["start"] <= offset)
+        return F.struct(
+            F.when(before, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(before, state["high"]).otherwise(middle).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(count + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(low, high), halve)["low"] - 1
+    holds = (found >= 0) & (offset < F.get(spans, F.greatest(found, F.lit(0)))["end"])
+    return F.when(holds, found).otherwise(F.greatest(count - 1, F.lit(0)))
 
 
 def with_pages(chunks: Column, spans: Column) -> Column:

@@ -151,6 +151,11 @@ def lm_vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
     return numbered.groupBy("token").agg((F.max("_n") - 1).cast("int").alias("id"))
 
 
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """A vocabulary that ``writers.vocabulary`` stored: (token, id)."""
+    return spark.read.schema("token string, id int").parquet(path)
+
+
 def stop_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("token")).distinct()
 
