@@ -1,9 +1,10 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
 Each task cuts its documents into shards and builds a suffix array of the words of every shard.
-All suffixes of the benchmark are then searched in it at once by binary search; that gives, per
-suffix, the range of equal windows and the longest verbatim match with its place. Documents with
-an occurring window are marked, and ``clean`` removes them.
+``report`` and ``clean`` search the suffixes of the benchmark at which a window begins, all at once
+by binary search, which gives the range of equal windows; ``longest_matches`` searches every suffix
+for its longest verbatim match and its place. Documents with an occurring window are marked, and
+``clean`` removes them.
 
 A suffix can only match where its first two words follow each other in a document (its first, if
 some item has a single word), so other places are left out of the array: they could not change
