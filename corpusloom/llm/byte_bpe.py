@@ -84,6 +84,18 @@ class PairTable:
         return out.reshape(shape)
 
 
+def tokens_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of every token by its rank; all that decoding needs."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def decode(tokens: list[bytes], packed: bytes) -> bytes:
+    return b"".join([tokens[i] for i in np.frombuffer(packed, dtype="<u4").tolist()])
+
+
 class Encoder:
     """A vocabulary of byte tokens: ``ranks`` of tokens, ``pattern`` that cuts the text."""
 
@@ -92,9 +104,7 @@ class Encoder:
         self.pairs = PairTable(ranks)
         self.cut = regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
+        self.tokens = tokens_of(ranks)
         self.known: dict[str, bytes] = {}
 
     def merge_matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -206,8 +216,7 @@ class Encoder:
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
     def decode(self, packed: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(packed, dtype="<u4").tolist()])
+        return decode(self.tokens, packed)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -258,15 +267,15 @@ class Tokenizer:
 
     def decode(self, encoded: DataFrame, ids: str = "ids") -> DataFrame:
         """``encoded`` with ``decoded``, the bytes that the ids stand for."""
-        shared, pattern, key = self.shared, self.pattern, self.key
+        shared = self.shared
         others = [c for c in encoded.columns if c != "decoded"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder = _encoder(shared, pattern, key)
+            tokens = tokens_of(shared.value)
             for whole in batches:
                 for begin in range(0, whole.num_rows, 500):
                     batch = whole.slice(begin, 500)
-                    decoded = [encoder.decode(i.as_py() or b"") for i in batch.column(ids)]
+                    decoded = [decode(tokens, i.as_py() or b"") for i in batch.column(ids)]
                     columns = [batch.column(i) for i in range(batch.num_columns)]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(decoded, pa.binary())], names=[*others, "decoded"])
 
