@@ -27,11 +27,17 @@ def _chunks(df: DataFrame) -> DataFrame:
 _STEP = P.sequence(_clean, _chunks)
 
 
+def _files(sf: str, name: str) -> str:
+    """A table as a stream reads it, be it one file or a folder of files: a stream takes a file only
+    by a pattern."""
+    return f"{sf}/{name}.parque[t]"
+
+
 @query("stream_chunks", f"SELECT doc_id, chunk_no, md5(content) AS content_md5 FROM ({_FIXED_SQL})")
 def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The chunk step as a stream: every file is processed once and appended."""
     schema = table(spark, sf, "documents").schema
-    return flows.replay(spark, sf, schema, _STEP, glob="documents.parquet")
+    return flows.replay(spark, _files(sf, "documents"), schema, _STEP, glob="*")
 
 
 @query(

@@ -33,3 +33,13 @@ def test_result_does_not_depend_on_partitions(spark, name):
             spark.conf.set("spark.sql.shuffle.partitions", "8")
 
     assert rows(1) == rows(7)
+
+
+@pytest.mark.parametrize("name, tables", [("stream_chunks", "documents")])
+def test_streams_read_tables_in_many_files(spark, tmp_path, name, tables):
+    spark.read.parquet(f"{FOLDER}/{tables}.parquet").repartition(3).write.parquet(str(tmp_path / f"{tables}.parquet"))
+
+    def rows(folder):
+        return sorted(map(str, QUERIES[name](spark, str(folder)).collect()))
+
+    assert rows(tmp_path) == rows(FOLDER) != []
