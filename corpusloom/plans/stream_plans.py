@@ -47,7 +47,7 @@ def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
     """Micro-batches upserted by id."""
     schema = table(spark, sf, "conversations").schema
-    stream = flows.file_stream(spark, sf, schema, glob="conversations.parquet").select(
+    stream = flows.file_stream(spark, _files(sf, "conversations"), schema, glob="*").select(
         F.col("conv_id").alias("id"), "role", F.col("turn").alias("version")
     )
     path, state = fresh_path(spark, "stream-table"), fresh_path(spark, "stream-state")

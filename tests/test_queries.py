@@ -35,7 +35,7 @@ def test_result_does_not_depend_on_partitions(spark, name):
     assert rows(1) == rows(7)
 
 
-@pytest.mark.parametrize("name, tables", [("stream_chunks", "documents")])
+@pytest.mark.parametrize("name, tables", [("stream_chunks", "documents"), ("stream_upserts", "conversations")])
 def test_streams_read_tables_in_many_files(spark, tmp_path, name, tables):
     spark.read.parquet(f"{FOLDER}/{tables}.parquet").repartition(3).write.parquet(str(tmp_path / f"{tables}.parquet"))
 
