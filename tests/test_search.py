@@ -103,3 +103,12 @@ def test_both_ways_of_counting_give_equal_scores(spark, monkeypatch):
 def test_grep_anchors(spark):
     df = spark.createDataFrame([(1, "a\nfoo"), (2, "foo b"), (3, None)], "k long, text string")
     assert [tuple(r)[:3] for r in R.grep(df, "k", "text", r"\Afoo\z").collect()] == [(1, 1, "foo")]
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    """A task that counts holds a row, not its share of all words."""
+    chunks = spark.createDataFrame([(5, "w1 w1 w59"), (5, "w1 w1 w59"), (6, None), (7, "b A b a")], "chunk_id long, text string")
+    got = sorted((r.chunk_id, r.term, r.tf, r.length) for r in L.build_index(chunks).postings.collect())
+    assert got == [(5, "w1", 2, 3)] * 2 + [(5, "w59", 1, 3)] * 2 + [(7, "a", 2, 4), (7, "b", 2, 4)]
+    plan = L._counted_in_rows(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
