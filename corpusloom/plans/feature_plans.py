@@ -42,7 +42,7 @@ def char_matrix(spark: SparkSession, sf: str) -> DataFrame:
 def char_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     """All character rows of a document as one-hot vectors; padding is the zero vector."""
     ids = texts(spark, sf, "documents").select("doc_id", E.char_index(T.characters(F.col("text")), 1014).alias("ids"))
-    rows = F.transform("ids", lambda k: F.array_join(E.char_one_hot(k, 70).cast("array<string>"), ""))
+    rows = F.transform("ids", lambda k: E.char_one_hot_digits(k, 70))
     return ids.select("doc_id", F.md5(F.array_join(rows, "")).alias("rows_md5"))
 
 
