@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from corpusloom.functions.columns import literal_rows
 from corpusloom.operators.ordering import with_position
@@ -111,6 +115,45 @@ def label_ids(labels: DataFrame, column: str) -> DataFrame:
     return _numbered(distinct, ["token"], ())
 
 
+def _in_rows(df: DataFrame, key: str, cells: Column, table: DataFrame, find) -> DataFrame | None:
+    """(key, _found): the arrays ``cells`` with each value's partner in ``table`` (value, partner), a
+    broadcast. Nothing but the arrays moves, and they stay in their rows. None if values repeat.
+
+    ``find(values, partners)`` completes an Arrow array of partners, null where there is none.
+    """
+    spark = df.sparkSession
+    pairs = table.toArrow().combine_chunks()
+    names, partners = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in pairs.columns)
+    if len(pc.unique(names)) < len(names):
+        return None
+    shared = spark.sparkContext.broadcast((names, partners))
+    source = df.select(key, cells.alias("_cells"))
+    kept = StructType([source.schema[0], StructField("_found", ArrayType(table.schema[1].dataType))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, partners = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            values = lists.flatten()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            found = find(values, partners.take(pc.index_in(values, names.cast(values.type))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, found)], names=[key, "_found"])
+
+    return source.mapInArrow(run, kept)
+
+
+def _merged(found: DataFrame, key: str) -> DataFrame:
+    """Rows that share a key as one array: by place, then value."""
+    cells = F.flatten(F.transform("_lists", lambda cells: F.transform(cells, lambda v, i: F.struct(i.alias("i"), v.alias("v")))))
+    grouped = found.groupBy(key).agg(F.collect_list("_found").alias("_lists"))
+    return grouped.select(key, F.transform(F.sort_array(cells), lambda c: c["v"]).alias("_found"))
+
+
+def _keys_repeat(df: DataFrame, key: str) -> bool:
+    return not df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+
+
 def lookup(
     df: DataFrame,
     key: str,
@@ -122,15 +165,30 @@ def lookup(
 ) -> DataFrame:
     """Replace the token array by its ids; ``key`` identifies the row.
 
-    Unknown tokens get the id ``unknown``; with None they fail the query. Rows are shuffled by
-    key before they are exploded, so that collecting the ids of a row needs no second shuffle;
-    ``tokens`` may be an expression over a text column, which is smaller to move than tokens. A
-    vocabulary within ``broadcast_rows`` is broadcast; a larger one is joined by token with
-    the frequent tokens salted over ``SALTS`` copies of the vocabulary.
+    Unknown tokens get the id ``unknown``; with None they fail the query. ``tokens`` may be an
+    expression over a text column. A vocabulary within ``broadcast_rows`` is broadcast and the ids
+    are found inside the rows, without a shuffle unless keys repeat. A larger one is joined by token
+    with the frequent tokens salted over ``SALTS`` copies of the vocabulary; rows are then shuffled
+    by key before they are exploded, so that collecting the ids of a row needs no second shuffle.
     """
     ids = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
+    few = small_enough(ids, broadcast_rows)
+    cells = F.col(tokens) if isinstance(tokens, str) else tokens
+
+    def known(values: pa.Array, found: pa.Array) -> pa.Array:
+        if unknown is not None:
+            return pc.fill_null(found, unknown)
+        missing = values.filter(pc.and_(pc.is_null(found), pc.is_valid(values)))
+        if len(missing):
+            raise ValueError(f"token not in vocabulary: {missing[0].as_py()}")
+        return found
+
+    found = _in_rows(df, key, cells, ids.where("_token IS NOT NULL"), known) if few else None
+    if found is not None:
+        found = _merged(found, key) if _keys_repeat(df, key) else found
+        return found.withColumnRenamed("_found", out)
     exploded = df.repartition(key).select(key, F.posexplode_outer(tokens).alias("_place", "_token"))
-    if small_enough(ids, broadcast_rows):
+    if few:
         joined = exploded.join(F.broadcast(ids), "_token", "left")
     else:
         salted = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -148,12 +206,27 @@ def lookup(
 
 
 def words_of_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, drop: Sequence[int] = ()) -> DataFrame:
-    """Ids back to tokens; an id beyond the vocabulary becomes ``<id>``; ``drop`` ids vanish."""
+    """Ids back to tokens; an id beyond the vocabulary becomes ``<id>``; ``drop`` ids vanish.
+
+    A vocabulary that is small enough is broadcast, as by ``lookup``."""
+    few = small_enough(vocab, BROADCAST_ROWS)
+
+    def named(values: pa.Array, found: pa.Array) -> pa.Array:
+        gone = pc.is_in(values, pa.array(list(drop), values.type))
+        shown = pc.coalesce(found, pc.binary_join_element_wise("<", values.cast(pa.string()), ">", ""))
+        return pc.if_else(gone, None, shown)
+
+    none = F.array().cast("array<string>")
+    words = vocab.select(F.col("id").cast("bigint"), "token").where("id IS NOT NULL")
+    placed = _in_rows(df, key, F.col(ids).cast("array<bigint>"), words, named) if few and not _keys_repeat(df, key) else None
+    if placed is not None:
+        kept = F.filter("_found", lambda w: w.isNotNull())
+        return placed.select(key, F.when(F.col(key).isNotNull(), kept).otherwise(none).alias("tokens"))
     exploded = df.repartition(key).select(key, F.posexplode_outer(ids).alias("_place", "_id"))
     if drop:
         exploded = exploded.where(F.col("_id").isNull() | ~F.col("_id").isin(*drop))
     table = vocab.select(F.col("id").alias("_id"), F.col("token").alias("_token"))
-    if small_enough(table, BROADCAST_ROWS):
+    if few:
         joined = exploded.join(F.broadcast(table), "_id", "left")
     else:
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -77,3 +77,35 @@ def test_formulas(spark):
     assert row["e"] == pytest.approx(math.erf(0.7), abs=1e-12) and row["f"] == pytest.approx(math.erf(-3), abs=1e-12)
     assert row["s"] == [0.5, 0.5] and row["n"] == []
     assert row["r"] == pytest.approx(512**-0.5 * 4000**-1.5) and row["l"] == pytest.approx(0.5)
+
+
+def test_one_hot_digits_are_the_joined_vector(spark):
+    ids = spark.range(74).selectExpr("cast(id AS int) AS k")
+    plain = F.array_join(E.char_one_hot(F.col("k"), 70).cast("array<string>"), "")
+    assert ids.where(E.char_one_hot_digits(F.col("k"), 70) != plain).count() == 0
+    shown = ids.select(E.char_one_hot_digits(F.col("k"), 70).alias("d"))
+    assert "lambda" not in shown._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_are_found_inside_the_rows(spark):
+    vocab = spark.createDataFrame([("a", 5), ("b", 6), ("c", 7)], "token string, id int")
+    rows = spark.createDataFrame([(1, ["a", "x", None, "b"]), (2, None), (3, []), (None, ["c"])], "k int, t array<string>")
+    found = V.lookup(rows, "k", "t", vocab, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+    assert {r.k: r.ids for r in found.collect()} == {1: [5, 1, 1, 6], 2: [], 3: [], None: [7]}
+    twice = rows.union(rows)
+    want = {1: [5, 5, 1, 1, 1, 1, 6, 6], 2: [], 3: [], None: [7, 7]}
+    for limit in (10, 0):
+        assert {r.k: r.ids for r in V.lookup(twice, "k", "t", vocab, 1, broadcast_rows=limit).collect()} == want
+
+
+def test_words_of_ids_inside_the_rows(spark, monkeypatch):
+    vocab = spark.createDataFrame([("a", 5), ("b", 6)], "token string, id int")
+    rows = spark.createDataFrame([(1, [5, 99, None, 0, 6]), (2, None), (3, []), (None, [6])], "k int, ids array<int>")
+    shown = V.words_of_ids(rows, "k", "ids", vocab, drop=[0])
+    assert "Generate" not in shown._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(str, shown.collect()))
+    assert "Row(k=1, tokens=['a', '<99>', 'b'])" in want
+    monkeypatch.setattr(V, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, V.words_of_ids(rows, "k", "ids", vocab, drop=[0]).collect())) == want
