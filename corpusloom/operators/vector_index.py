@@ -31,6 +31,8 @@ from corpusloom.staging import fresh_path, stage
 TILE, BLOCK = 1024, 1024
 #: Tiles, or blocks, that meet in one task.
 GROUP = 16
+#: Results of pairs that a task gathers before it keeps the best of each query.
+GATHERED = 400_000
 #: Centroids are fitted on at most this many rows per list, of at most so many lists.
 SAMPLE_PER_LIST, MOST_LISTS = 40, 4096
 ROUNDS = 12
@@ -208,7 +210,7 @@ def _query_blocks(asked: DataFrame) -> DataFrame:
 def _best_of_tiles(k: int, key: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
+            found, gathered = [], 0
             for keys, cells, qids, queries in zip(batch["keys"], batch["cells"], batch["qids"], batch["queries"]):
                 rows = np.asarray(cells, dtype=np.float64).reshape(len(keys), -1)
                 asked = np.asarray(queries, dtype=np.float64).reshape(len(qids), -1)
@@ -222,14 +224,25 @@ def _best_of_tiles(k: int, key: str):
                         "score": np.take_along_axis(scores, order, axis=0).ravel(),
                     })
                 )
+                gathered += len(found[-1])
+                if gathered > GATHERED:
+                    found = [_best_rows(found, k, key)]
+                    gathered = len(found[0])
+                    if 2 * gathered > GATHERED:  # many queries: the final ranking merges them
+                        yield found.pop()
+                        gathered = 0
             if found:
-                rows = pd.concat(found).assign(_fine=lambda r: r["score"].round(9))
-                rows = rows.sort_values(["qid", "_fine", key], ascending=[True, False, True])
-                yield rows.groupby("qid", sort=False).head(k).drop(columns="_fine")
+                yield _best_rows(found, k, key)
 
     return run
 
 
+def _best_rows(found: list[pd.DataFrame], k: int, key: str) -> pd.DataFrame:
+    rows = pd.concat(found).assign(_fine=lambda r: r["score"].round(9))
+    rows = rows.sort_values(["qid", "_fine", key], ascending=[True, False, True])
+    return rows.groupby("qid", sort=False).head(k).drop(columns="_fine")
+
+
 def _scan(tiles: DataFrame, tile_counts: DataFrame, asked: DataFrame, k: int, key: str, kind: str) -> DataFrame:
     """Best ``k`` per (query, task) of the stored pairs (list, qid, query). ``tile_counts`` has a row per list."""
     blocks = _query_blocks(asked)

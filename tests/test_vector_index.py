@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,19 @@ def test_text_keys(spark, clustered):
     index = I.build_index(named, fresh_path(spark, "index"), lists=5)
     want = [(q, r, f"v{k:05d}") for q, r, k in plainly(data, queries, 3)]
     assert found(I.search(index, asked(spark, queries), 3, probes=2, exact=True)) == want
+
+
+def test_a_task_gathers_a_bounded_number_of_results(monkeypatch):
+    """Many pairs of one batch: what is held stays bounded, and nothing better is lost."""
+    draw = np.random.default_rng(3)
+    tiles = [(np.arange(i * 20, i * 20 + 20), draw.normal(size=(20, 4)).astype(np.float32)) for i in range(60)]
+    asked = draw.normal(size=(5, 4))
+    asked /= np.linalg.norm(asked, axis=1)[:, None]
+    pairs = pd.DataFrame([{"keys": k, "cells": c.ravel(), "qids": np.arange(5), "queries": asked.ravel()} for k, c in tiles])
+    want = pd.concat(I._best_of_tiles(3, "vec_id")(iter([pairs]))).reset_index(drop=True)
+    held, plain = [], I._best_rows
+    monkeypatch.setattr(I, "GATHERED", 100)
+    monkeypatch.setattr(I, "_best_rows", lambda found, k, key: held.append(sum(map(len, found))) or plain(found, k, key))
+    got = pd.concat(I._best_of_tiles(3, "vec_id")(iter([pairs]))).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want)
+    assert len(held) > 5 and max(held) <= 115
