@@ -246,10 +246,11 @@ class Tokenizer:
         self.pattern = pattern
         self.key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
 
-    def encode(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    def encode(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
         """``docs`` with n_tokens and ids (packed little-endian, four bytes each)."""
         shared, pattern, key = self.shared, self.pattern, self.key
-        others = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "ids")]
+        made = ["n_tokens", "ids", *(["decoded"] if decoded else [])]
+        others = [c for c in (docs.columns if keep is None else keep) if c not in made]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = _encoder(shared, pattern, key)
@@ -259,11 +260,19 @@ class Tokenizer:
                     ids = encoder.encode(batch.column("_text").to_pylist())
                     columns = [batch.column(i) for i in range(len(others))]
                     columns += [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*others, "n_tokens", "ids"])
+                    if decoded:
+                        columns.append(pa.array([encoder.decode(i) for i in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*others, *made])
 
         source = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias("_text"))
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
-        return source.mapInArrow(run, (ddl + ", " if ddl else "") + "n_tokens long, ids binary")
+        ddl = (ddl + ", " if ddl else "") + "n_tokens long, ids binary"
+        return source.mapInArrow(run, ddl + ", decoded binary" if decoded else ddl)
+
+    def round_trip(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+        """``docs`` with n_tokens, ids and decoded, the bytes that the ids stand for: ``encode`` and
+        ``decode`` in one worker, which holds the vocabulary once."""
+        return self.encode(docs, text, keep, decoded=True)
 
     def decode(self, encoded: DataFrame, ids: str = "ids") -> DataFrame:
         """``encoded`` with ``decoded``, the bytes that the ids stand for."""

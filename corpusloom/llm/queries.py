@@ -51,9 +51,8 @@ def bpe_tokenizer(spark: SparkSession) -> byte_bpe.Tokenizer:
 
 
 def op5_matrix_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    tokenizer = bpe_tokenizer(spark)
-    encoded = tokenizer.encode(table(spark, folder, "documents"), keep=["doc_id"])
-    return tokenizer.decode(encoded).select(
+    tokenized = bpe_tokenizer(spark).round_trip(table(spark, folder, "documents"), keep=["doc_id"])
+    return tokenized.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -81,3 +81,11 @@ def test_two_vocabularies_in_one_worker(spark, documents, tmp_path):
     both = small.encode(documents.limit(20)).selectExpr("doc_id", "text", "n_tokens AS n_bytes")
     for row in bpe_tokenizer(spark).encode(both).collect():
         assert row.n_bytes == len(row.text.encode()) and row.n_tokens == len(WANTED.encode_ordinary(row.text))
+
+
+def test_round_trip_in_one_worker(spark):
+    tokenizer = bpe_tokenizer(spark)
+    rows = spark.createDataFrame([(1, "Aé  x\n"), (2, None), (2, ""), (None, "\x00 naïve 🙂")], "doc_id long, text string")
+    once = tokenizer.round_trip(rows, keep=["doc_id"])
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, once.collect())) == sorted(map(str, tokenizer.decode(tokenizer.encode(rows, keep=["doc_id"])).collect()))
