@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.chance import uniform, uniform_sql
+from corpusloom.functions.chance import uniform_sql, uniforms
 from corpusloom.functions.columns import joined
 from corpusloom.operators import answer_spans as A
 from corpusloom.plans import sqltext as S
@@ -74,16 +78,14 @@ def question_files(spark: SparkSession, sf: str) -> DataFrame:
 WIDTH, STRIDE, QUERY = 96, 32, 8
 
 
-def features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    examples = A.training_examples(A.read_questions(articles(spark, sf)))
-    ready = examples.withColumns(
+def prepared(examples: DataFrame) -> DataFrame:
+    return examples.withColumns(
         {
             "pieces": T.basic_tokens_of_words(F.col("doc_tokens")),
             "query": T.basic_tokens(F.col("question")),
             "answer_tokens": T.basic_tokens(F.col("answer_text")),
         }
     )
-    return examples, A.window_features(ready, "pieces", "query", WIDTH, STRIDE, QUERY)
 
 
 _FEATURES_CTE = f"""ex AS MATERIALIZED (SELECT *, {S.basic_tokens('question')}[1:{QUERY}] AS q, [{S.basic_tokens('w')} for w in ws] AS pieces,
@@ -119,11 +121,12 @@ _FEATURES_CTE = f"""ex AS MATERIALIZED (SELECT *, {S.basic_tokens('question')}[1
 )
 def qa_features(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping windows with original word numbers, maximal context and answer positions."""
-    found = A.with_unique_ids(features(spark, sf)[1])
+    ready = prepared(A.training_examples(A.read_questions(articles(spark, sf))))
+    found = A.window_features(ready, "pieces", "query", WIDTH, STRIDE, QUERY)
     inner = F.filter("token_to_orig", lambda o: o.isNotNull())
     first = F.array_position("tokens", "[SEP]").cast("int")
     flags = F.slice("token_is_max_context", first + 1, F.size(inner))
-    return found.select(
+    digests = found.select(
         "qas_id",
         "doc_span_index",
         F.size("tokens").alias("n_tokens"),
@@ -132,8 +135,9 @@ def qa_features(spark: SparkSession, sf: str) -> DataFrame:
         F.md5(joined(flags.cast("array<int>"), "")).alias("max_context_md5"),
         "start_index",
         "end_index",
-        "unique_id",
     )
+    # numbered when they are small: numbering stores its rows
+    return A.with_unique_ids(digests)
 
 
 _START = f"round({uniform_sql(21, 'doc_id', 'idx', 'p - 1')} * 8, 4)"
@@ -167,21 +171,42 @@ _NBEST_CTE = f"""{_FEATURES_CTE},
            WHERE rank <= 6 OR text = '')"""
 
 
+def raw_results(spans: DataFrame) -> DataFrame:
+    """The results as a model gives them, a table of their own: unique_id and two scores a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, span, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            row = np.repeat(np.arange(len(n)), n)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            place = np.arange(len(row)) - ends[row]
+            scores = [np.floor(uniforms(seed, doc[row], span[row], place) * 8 * 1e4 + 0.5) / 1e4 for seed in (21, 22)]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in scores]
+            yield pa.RecordBatch.from_arrays([batch.column(3), *lists], names=["unique_id", "start_logits", "end_logits"])
+
+    known = spans.where("n_tokens IS NOT NULL").select(F.col("qas_id").cast("bigint"), "doc_span_index", "n_tokens", "unique_id")
+    return known.mapInArrow(run, "unique_id long, start_logits array<double>, end_logits array<double>")
+
+
 def answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Raw results are a table of their own, as a model writes them, and meet their features by unique_id."""
-    examples, found = features(spark, sf)
-    numbered = stage(A.with_unique_ids(found), "features-numbered")
-    doc, span = F.col("qas_id").cast("bigint"), F.col("doc_span_index")
-    logits = [
-        F.transform("tokens", lambda t, i: F.round(uniform(seed, doc, span, i) * 8, 4)).alias(name)  # noqa: B023
-        for seed, name in ((21, "start_logits"), (22, "end_logits"))
-    ]
-    results = stage(numbered.select("unique_id", *logits), "raw-results")
-    scored = A.with_results(numbered, results).withColumn("feature_index", span)
-    candidates = A.candidate_spans(scored, n_best=6, longest=12)
-    words = examples.select("qas_id", "doc_tokens")
-    nulls = A.null_scores(scored)
-    return A.n_best(candidates.join(words, "qas_id"), n=6, nulls=nulls, questions=examples), nulls
+    """Best answers and null scores. Raw results are a table of their own, as a model writes them.
+
+    The spans are numbered by lengths alone. The results are reduced in their rows, meet their
+    spans by unique_id and travel to the text of their question, where the features are laid out:
+    features and logits are neither stored nor shuffled.
+    """
+    asked = A.read_questions(articles(spark, sf))
+    lengths = stage(A.question_lengths(prepared(A.training_examples(asked)), "pieces", "query", QUERY), "question-lengths")
+    spans = stage(A.with_unique_ids(A.spans_of_lengths(lengths, WIDTH, STRIDE)), "spans-numbered")
+    results = stage(A.results_of_questions(spans, raw_results(spans), 6), "question-results")
+    ready = prepared(A.training_examples(asked.join(results.withColumnRenamed("qas_id", "_qas_id"), F.col("qas_id") == F.col("_qas_id")).drop("_qas_id")))
+    scored = A.window_features(ready, "pieces", "query", WIDTH, STRIDE, QUERY, words=True, results="results")
+    candidates = A.candidates_of_best(scored.withColumn("feature_index", F.col("doc_span_index")), longest=12)
+    each = results.select("qas_id", F.inline("results"))
+    nulls = A.null_scores(
+        each.select("qas_id", F.col("span").alias("feature_index"), F.array("null_start").alias("start_logits"), F.array("null_end").alias("end_logits"))
+    )
+    return A.n_best(candidates, n=6, nulls=nulls, questions=lengths), nulls
 
 
 @query(

@@ -147,3 +147,59 @@ def test_results_by_unique_id(spark):
     for bad in (good[1:], [*good, good[0]], [(2, [0.5, 0.5], [0.25]), *good[1:]], [(2, [0.5], []), *good[1:]]):
         with pytest.raises(Exception, match="no single fitting result for feature 2"):
             joined(bad)
+
+
+def documents(folder, n=12):
+    import duckdb
+
+    text = "list_aggregate([CASE WHEN k % 17 = 3 THEN 'Näh-' || k ELSE 'w' || (i * k) % 97 || ',' END FOR k IN range(0, 40 + i * 11)], 'string_agg', ' ')"
+    duckdb.execute(f"COPY (SELECT i AS doc_id, {text} AS text, 'web' AS source, 'en' AS lang FROM range(0, {n}) t(i)) TO '{folder}/documents.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["qa_features", "qa_nbest", "qa_decide"])
+def test_features_and_logits_are_not_stored(spark, tmp_path, monkeypatch, name):
+    """Stored tables hold lengths, digests or reduced results: nothing per token."""
+    import __spark_entry__ as entry
+    import oracle
+    from corpusloom.operators import ordering
+    from corpusloom.plans import qa_plans
+    from corpusloom.staging import stage
+
+    stored = []
+
+    def seen(df, tag):
+        stored.append((tag, df.columns))
+        return stage(df, tag)
+
+    monkeypatch.setattr(oracle, "TABLES", ("documents",))
+    for module in (A, ordering, qa_plans):
+        monkeypatch.setattr(module, "stage", seen)
+    n, _ = oracle.compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], documents(tmp_path))
+    assert n >= 12 and stored
+    per_token = {"tokens", "token_to_orig", "token_is_max_context", "segment_ids", "start_logits", "end_logits"}
+    assert not [tag for tag, columns in stored if per_token & set(columns)]
+
+
+def test_reduced_results_give_the_same_candidates(spark):
+    import random
+
+    rng = random.Random(4)
+    features, results = [], []
+    for i in range(60):
+        n = rng.randrange(3, 30)
+        orig = [None, *[k // 2 for k in range(n - 2)], None]
+        features.append((f"q{i % 7}", i // 7, n, i, [f"t{k}" for k in range(n)], orig, [o is not None and rng.random() < 0.8 for o in orig]))
+        results.append((i, *[[float(rng.randrange(6)) for _ in range(n)] for _ in range(2)]))
+    schema = "qas_id string, doc_span_index int, n_tokens int, unique_id long, tokens array<string>, token_to_orig array<int>, token_is_max_context array<boolean>"
+    features = spark.createDataFrame(features, schema)
+    results = spark.createDataFrame([*results, (99, [1.0], [])], "unique_id long, start_logits array<double>, end_logits array<double>")
+    columns = ["qas_id", "doc_span_index", "start_index", "end_index", "start_logit", "end_logit"]
+    whole = A.candidate_spans(A.with_results(features, results), 5, 9).select(columns)
+    reduced = A.results_of_questions(features, results, 5)
+    one = features.join(reduced, "qas_id").withColumn("result", F.get("results", F.col("doc_span_index")))
+    got = A.candidates_of_best(one, 9).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 100
+    for bad in (results.where("unique_id <> 4"), results.unionByName(results.where("unique_id = 4"))):
+        with pytest.raises(Exception, match="no single fitting result for feature 4"):
+            A.results_of_questions(features, bad, 5).collect()
