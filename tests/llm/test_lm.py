@@ -4,6 +4,7 @@ import math
 import numpy as np
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import lm_score as L
 from corpusloom.llm.common import fold
@@ -79,6 +80,53 @@ def test_probabilities_of_a_context_sum_to_one():
         assert known.all() and math.isclose((p + weight * model.share).sum(), 1.0, rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("codes, cut, batch", [(1 << 18, 200_000, 1_000_000), (300, 200_000, 5_000), (300, 200, 5_000)])
+def test_every_word_has_transitions(monkeypatch, documents, pairs, codes, cut, batch):
+    monkeypatch.setattr(L, "FREQUENT", codes)
+    monkeypatch.setattr(L, "CONTEXT_TOKENS", cut)
+    monkeypatch.setattr(L, "BATCH_TOKENS", batch)
+    rows = {r.doc_id: r.score for r in L.score(documents, fold() != 1).collect()}
+    tokens = {d: t and t.encode("utf-8", "surrogatepass").translate(L._LOWER).split() for d, t in pairs}
+    every = {w.decode() for d, ws in tokens.items() if learn(d) for w in ws or []}
+    assert len(every) > 10 * 300
+    want = plain.lm_bigram(pairs, learn, every, L.DISCOUNT)
+    # Classes of successors change a context's probabilities; the quantisation costs little.
+    off = {d: abs(rows[d] - want[d]) / max(1, len(tokens[d] or [])) for d in want}
+    assert max(off.values()) < (0.03 if cut == 200_000 else 0.3)
+
+
+def test_a_rare_pair_seen_twice(spark):
+    texts = {0: "a b", 1: "c d", 2: "c d", 3: "a c", 4: "c b"}
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(L, "FREQUENT", 0)  # no word has a code
+        rows = {r.doc_id: r.score for r in L.score(docs, F.lit(True)).collect()}
+    want = plain.lm_bigram(list(texts.items()), lambda d: True, set("abcd"), L.DISCOUNT)
+    assert all(math.isclose(rows[d], want[d], abs_tol=1e-4) for d in texts)
+
+
+def test_classes_of_rare_words(spark):
+    docs = spark.createDataFrame([(i, f"the w{i} the w{i % 7}") for i in range(400)], "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(L, "CONTEXT_TOKENS", 50)
+        model = L._frequent(L.unigrams(docs, F.lit(True)), 5)
+    k = model.most_classes
+    assert k > 8 and math.isclose(model.mass.sum() + 0.5 / model.total, 1.0, rel_tol=1e-9)
+    want = np.zeros(k)
+    counts = {b"": 400, b"the": 800}
+    for i in range(400):
+        for w in (b"w%d" % i, b"w%d" % (i % 7)):
+            counts[w] = counts.get(w, 0) + 1
+    for w, c in counts.items():
+        code = L.encode([w], model) if w else np.zeros(1, np.uint64)
+        want[L.class_of(code) & (k - 1)] += (c + 0.5) / model.total
+    assert np.allclose(model.mass, want)
+    # Over all classes of one context, its words and the unseen one of each class sum to one.
+    classes = np.arange(k, dtype=np.uint64) + np.uint64(1) << np.uint64(32) | np.uint64(model.codes[b"the"])
+    front, mass = L.fronts(classes, np.full(k, 800 / k), model)
+    assert math.isclose(front.sum(), 1.0, rel_tol=1e-9) and math.isclose((front / mass * model.masses(k)).sum(), 1.0, rel_tol=1e-9)
+
+
 def test_odd_rows(odd, odd_pairs):
     rows = L.score(odd, fold() != 1).collect()
     assert len(rows) == 11 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
