@@ -105,6 +105,16 @@ def test_a_rare_pair_seen_twice(spark):
     assert all(math.isclose(rows[d], want[d], abs_tol=1e-4) for d in texts)
 
 
+def test_more_words_than_codes(spark):
+    n = L.FREQUENT // 2 + 5_000  # two words in each document
+    docs = spark.range(n).selectExpr("id doc_id", "concat('a', id, ' b', id) text")
+    rows = {r.doc_id: r.score for r in L.score(docs, F.lit(True)).filter("doc_id % 1000 = 0").collect()}
+    texts = [(i, f"a{i} b{i}") for i in range(n)]
+    want = plain.lm_bigram(texts, lambda d: True, {w for _, t in texts for w in t.split()}, L.DISCOUNT)
+    assert len(rows) == -(-n // 1000)
+    assert max(abs(rows[d] - want[d]) for d in rows) < 0.01
+
+
 def test_classes_of_rare_words(spark):
     docs = spark.createDataFrame([(i, f"the w{i} the w{i % 7}") for i in range(400)], "doc_id long, text string")
     with pytest.MonkeyPatch.context() as patch:
