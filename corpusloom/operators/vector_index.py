@@ -33,6 +33,8 @@ TILE, BLOCK = 1024, 1024
 GROUP = 16
 #: Results of pairs that a task gathers before it keeps the best of each query.
 GATHERED = 400_000
+#: Angles between queries and centroids that a task holds, and pairs (list, query) it hands on at once.
+ANGLES, HANDED = 1_000_000, 20_000
 #: Centroids are fitted on at most this many rows per list, of at most so many lists.
 SAMPLE_PER_LIST, MOST_LISTS = 40, 4096
 ROUNDS = 12
@@ -268,13 +270,16 @@ def _probe(centres: np.ndarray, spark: SparkSession, choose, out: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             unit, usable = _matrix(batch["query"])
-            if not len(unit):
-                continue
             rows = batch[usable]
-            wanted = choose(np.arccos(np.clip(unit @ shared.value.T, -1, 1)), rows)
-            at, names = np.nonzero(wanted)
-            if len(at):
-                yield pd.DataFrame({"list": names, "qid": rows["qid"].to_numpy()[at], "query": list(unit[at])})
+            step = max(1, ANGLES // len(shared.value))
+            for low in range(0, len(unit), step):
+                some, more = unit[low : low + step], rows.iloc[low : low + step]
+                at, names = np.nonzero(choose(np.arccos(np.clip(some @ shared.value.T, -1, 1)), more))
+                qids = more["qid"].to_numpy()
+                # a query may be open in every list, and each pair carries its vector
+                for i in range(0, len(at), HANDED):
+                    part = at[i : i + HANDED]
+                    yield pd.DataFrame({"list": names[i : i + HANDED], "qid": qids[part], "query": list(some[part])})
 
     return lambda frame: frame.mapInPandas(run, out)
 

@@ -117,3 +117,21 @@ def test_a_task_gathers_a_bounded_number_of_results(monkeypatch):
     got = pd.concat(I._best_of_tiles(3, "vec_id")(iter([pairs]))).reset_index(drop=True)
     pd.testing.assert_frame_equal(got, want)
     assert len(held) > 5 and max(held) <= 115
+
+
+def test_a_probing_task_hands_on_bounded_pieces(spark):
+    """Queries that are open in every list: each pair once, with the vector of its query."""
+
+    class Frame:
+        def mapInPandas(self, run, _):
+            return run
+
+    draw = np.random.default_rng(3)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(draw.normal(size=(n, 4)))
+    centres, vectors = unit(40), unit(3000)
+    run = I._probe(centres, spark, lambda angles, rows: np.ones(angles.shape, bool), "")(Frame())
+    parts = list(run(iter([pd.DataFrame({"qid": range(3000), "query": list(vectors)})])))
+    assert max(map(len, parts)) <= 20_000 and sum(map(len, parts)) == 120_000
+    pairs = pd.concat(parts)
+    assert len(pairs[["list", "qid"]].drop_duplicates()) == 120_000
+    assert np.allclose(np.stack(pairs["query"]), vectors[pairs["qid"]])
